@@ -38,7 +38,7 @@ def _word(text: str) -> str:
 
 
 def _low(text: str) -> str:
-    return _word(text).lower().strip(".,;:?!()")
+    return _word(_word(text).lower().strip(".,;:?!()"))
 
 
 def _is(text: str, *words: str) -> bool:
@@ -252,7 +252,7 @@ def page_values(words: list[str], line: list[int]) -> list[str | None]:
                 r.mark(start, end, "email")
                 i = end
                 continue
-        if low in ("at", "[at]", "(at)") and re.match(r"^[\[({]", w[i]) and 0 < i < n - 1 and "." in w[i + 1][:-1]:  # "name [at] domain"
+        if low == "at" and 0 < i < n - 1 and re.match(r"^[A-Za-z0-9][\w.-]*\.[a-z]{2,7}[.,;:?]?$", _word(w[i + 1])) and not _numeric(w[i + 1]):  # "name [at] domain"
             r.mark(i - 1, i + 2, "email")
             i += 2
             continue
