@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import pkgutil
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ import leafspan.llm as package
 
 
 def _modules():
-    return [importlib.import_module(f"{package.__name__}.{m.name}") for m in pkgutil.iter_modules(package.__path__) if m.name.startswith("p")]
+    return [importlib.import_module(f"{package.__name__}.{m.name}") for m in pkgutil.iter_modules(package.__path__) if re.match(r"p\d+_", m.name)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
