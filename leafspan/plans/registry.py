@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafspan.plans import pages, words
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Harmonised words in reading order, sanitised and tagged."""
+    return pages.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return words.QUERIES | pages.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return words.ORACLE | pages.ORACLE
