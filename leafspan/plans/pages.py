@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -17,6 +16,7 @@ from leafspan.operators import harmonize as H
 from leafspan.operators import layout as L
 from leafspan.operators import matching as M
 from leafspan.operators import sanitize as S
+from leafspan.session import shared_folder
 from leafspan.plans.base import BOX, EW, HW, SW, core, engine_rows, harmonized_rows, slim_rows
 from leafspan.sources import table
 from leafspan.streaming.words import tagged_stream, windowed_counts, word_stream
@@ -379,9 +379,7 @@ def validate_matches(spark, d):
 
 
 def _folder(spark, name: str) -> str:
-    """A new folder for a stream: in the shared checkpoint folder of the session, in a temporary one where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _counted(stream, name: str):

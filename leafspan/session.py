@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +14,6 @@ LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -26,12 +27,24 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "1
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: spark.checkpoint.dir of the session, which all executors share; a temporary one only where
+    none is set (local work)."""
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if own:
+        return own.rstrip("/")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="leafspan-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
+
+
+_local: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder and read back, so that it is computed once and outlives lost executors.
-
-    The folder is spark.checkpoint.dir of the session; a temporary one is set only where none is set (local tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix=f"leafspan-{os.getpid()}-"))
-    return df.checkpoint(eager=True)
+    """``df`` written once as a compressed table to the shared folder and read back, so that it is computed once, is read by column, and
+    outlives lost executors. The tables stay until that folder is emptied, as others may still read them."""
+    path = f"{shared_folder(df.sparkSession)}/leafspan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
