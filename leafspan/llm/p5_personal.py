@@ -11,6 +11,7 @@ import hashlib
 import hmac
 import re
 from datetime import date, timedelta
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,39 +30,59 @@ _STREETS = ("street", "st", "avenue", "ave", "road", "rd", "lane", "ln", "way",
 _ROMANCE = ("avenue", "rue", "via", "calle", "rua", "avenida", "plaza", "piazza", "chemin", "boulevard")
 _GERMAN = re.compile(r"(weg|stra(ss|ß|b|8)e|gasse|allee|platz|ring)$", re.I)
 _LINK = {"de", "del", "della", "di", "du", "des", "la", "le", "da", "do", "dos", "al", "dei"}
+_OPENINGS = ("phone", "mobile", "telephone", "email", "e-mail", "passport", "licence", "license", "insurance", "chart", "address", "deliver", "visit", "dear", "call", "signed", "name", "owner", "patient", "contact", "client", "ssn", "mrn")
+#: Distinct words whose looks a worker remembers.
+MEMO = 1 << 17
 _UNIT = ("apt", "unit", "suite", "apartment", "flat")
 
 
+@lru_cache(MEMO)
 def _word(text: str) -> str:
     """Without quotes and brackets around it, as they may be put round any word."""
     return text.strip("\"'“”‘’«»„[]{}<>")
 
 
+@lru_cache(MEMO)
 def _low(text: str) -> str:
     return _word(_word(text).lower().strip(".,;:?!()"))
 
 
+@lru_cache(MEMO)
 def _is(text: str, *words: str) -> bool:
     """Whether a word is one of ``words``, but for a misread sign or two in longer ones."""
     t = _low(text)
     return any(near(t, w, 0 if len(w) < 4 else 1 if len(w) < 8 else 2) for w in words)
 
 
+@lru_cache(MEMO)
+def _trigger(text: str) -> bool:
+    """Whether a word can be, or stand at the end of, a caption or another opening of a value; the words of running text mostly can't."""
+    t, low = _word(text), _low(text)
+    if "@" in t or t[-1:] in ":.;,":
+        return True
+    if low in ("at", "of", "or", "0f", "oi", "ot", "oj", "cf", "af", "id", "io", "1d", "ld", "fax", "tel", "no", "rio") or len(low) <= 4 and any(c.isdigit() for c in low):
+        return True
+    return any(near(low, x, 2) for x in _OPENINGS)
+
+
 def _digits(text: str) -> int:
     return sum(c.isdigit() for c in text)
 
 
+@lru_cache(MEMO)
 def _numeric(text: str) -> bool:
     """Digits with their usual signs, some of them perhaps misread."""
     t = _word(text).strip(".,;:?!")
     return bool(t) and (bool(_NUMBER.match(t)) and _digits(t) * 2 >= sum(c.isalnum() for c in t) or bool(re.fullmatch(rf"[{_DIGIT}]{{1,4}}", t)) and _digits(t) > 0)
 
 
+@lru_cache(MEMO)
 def _numberish(text: str, least: int) -> bool:
     t = _word(text).strip(".,;:?!()")
     return len(t) >= least and _digits(t) * 2 >= len(t)
 
 
+@lru_cache(MEMO)
 def _named(text: str) -> bool:
     """A word that can be part of a name: capital first (or a misread sign in its place), no digits but misread ones."""
     t = _word(text).strip(".,;:?!()*~`")
@@ -72,6 +93,7 @@ def _named(text: str) -> bool:
     return (t[0].isupper() or t[0].isdigit() and len(t) > 2 or any(c.isupper() for c in letters[:2])) and sum(c.isdigit() for c in t) * 3 <= len(t)
 
 
+@lru_cache(MEMO)
 def _initial(text: str) -> bool:
     t = _word(text).strip("*~`")
     return len(t) <= 3 and t[:1].isalpha() and (t.endswith((".", ",", ":")) and len(t) <= 3 or len(t) == 1 and t.isupper())
@@ -243,6 +265,9 @@ def page_values(words: list[str], line: list[int]) -> list[str | None]:
 
     i = 0
     while i < n:
+        if not _trigger(w[i]) and not (i and _low(w[i - 1]) in ("security", "insurance", "passport", "licence")):
+            i += 1
+            continue
         t = _word(w[i])
         low = _low(t)
         if "@" in t and len(t) > 1 or t == "@" and 0 < i < n - 1 and "." in w[i + 1] and not _numeric(w[i + 1]) and not _numeric(w[i - 1]):

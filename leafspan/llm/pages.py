@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ _ROMAN = re.compile(r"^[ivxl1|!]{1,5}$", re.I)
 _DATE = re.compile(r"^[0-9OolISZ|]{1,2}/[0-9A-Za-z|]{1,2}/[0-9A-Za-z|]{2,4}$")
 
 
+@lru_cache(1 << 17)
 def clean(text: str) -> str:
     """NFKC, without invisible signs and outer white space."""
     t = unicodedata.normalize("NFKC", text)
@@ -36,11 +38,13 @@ def clean(text: str) -> str:
     return t.strip()
 
 
+@lru_cache(1 << 17)
 def bare(text: str) -> str:
     """Lower case, without quotes, brackets and closing punctuation."""
     return text.lower().strip(_EDGE + ".,;:?!")
 
 
+@lru_cache(1 << 17)
 def near(a: str, b: str, most: int) -> bool:
     """Whether two short strings are within ``most`` edits."""
     if a == b:
