@@ -29,9 +29,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source
     apart by nothing and count as documents of their own. Null shares count as 0, null max_repeats as 1.
     """
     t = targets.select(F.col(source).alias("_s"), F.coalesce("target_share", F.lit(0.0)).alias("_share"), F.coalesce("max_repeats", F.lit(1)).cast("bigint").alias("_max")).dropDuplicates(["_s"])
-    counted = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), token_count(F.col(text), path or tokenizer_path()).alias("_n"))
+    counted = docs.where(F.col(source).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("_k"), F.col(source).alias("_s"), token_count(F.col(text), path or tokenizer_path()).alias("_n"))
     hashed = F.xxhash64(F.lit(seed), F.col("_k"), F.col("_n"))
-    keyed = counted.where(F.col("_s").isNotNull() & (F.col("_n") > 0)).withColumn("_h", hashed).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(1 << 24)) * buckets / F.lit(1 << 24)).withColumn("_b", F.floor("_b").cast("int"))
+    keyed = counted.withColumn("_h", hashed).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(1 << 24)) * buckets / F.lit(1 << 24)).withColumn("_b", F.floor("_b").cast("int"))
     keyed = cut(keyed.join(t.select("_s"), "_s", "left_semi"))
 
     sums = keyed.groupBy("_s", "_b").agg(F.sum("_n").alias("_sum"))
