@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from leafspan.plans import registry
@@ -14,7 +15,7 @@ SLOW = {"pipeline", "harmonize_full", "harmonize_two_engines", "unmatched_second
 def rows(frame):
     out = []
     for r in frame.itertuples(index=False):
-        out.append(tuple("" if v is None or v != v else f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
+        out.append(tuple("" if pd.isna(v) else f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
     return sorted(out)
 
 
