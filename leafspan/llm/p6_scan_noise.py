@@ -195,16 +195,15 @@ def find_noise(words: DataFrame) -> DataFrame:
     own = words.where("word_id is not null and file_id is not null and page is not null and text <> ''").select("src", "word_id", "text").distinct()
     joined = pages.where("joined is not null").select("src", "word_id", "joined", "head")
     # a piece is judged by the word it belongs to
-    whole = own.join(joined, ["src", "word_id"], "left").select("src", "word_id", "text", "joined", "head", F.when(~F.col("text").rlike(r"^\s*\.\p{L}|@"), term_column(F.coalesce("joined", "text"))).alias("word"), broken(F.col("text")))
+    stem = F.regexp_replace(F.coalesce(term_column("text"), F.lit("")), r"[^\p{L}\p{N}]", "")
+    whole = own.join(joined, ["src", "word_id"], "left").select("src", "word_id", F.col("text").rlike(r"^[^\p{L}]*\p{Lu}").alias("capital"), "head", F.when(F.col("joined").isNotNull(), stem).alias("stem"), F.when(~F.col("text").rlike(r"^\s*\.\p{L}|@"), term_column(F.coalesce("joined", "text"))).alias("word"), broken(F.col("text")))
     whole = cut(whole)
-    counts = whole.where("word is not null and not coalesce(not head, false)").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").rlike(r"^[^\p{L}]*\p{Lu}")).alias("capital"))
+    counts = whole.where("word is not null and not coalesce(not head, false)").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("capital").alias("capital"))
     meant = misread_words(counts)
-    piece = term_column("text")
     judged = whole.join(meant, "word", "left")
     # of a divided word only the piece that differs from what was meant is misread
-    stem = F.regexp_replace(F.coalesce(piece, F.lit("")), r"[^\p{L}\p{N}]", "")
-    fits = F.when(F.col("head"), F.startswith("meant", stem)).otherwise(F.endswith(F.col("meant"), stem))
-    wrong = F.when(F.col("meant").isNotNull(), F.col("joined").isNull() | ~fits).otherwise(F.lit(False)) | F.col("broken")
+    fits = F.when(F.col("head"), F.startswith("meant", F.col("stem"))).otherwise(F.endswith(F.col("meant"), F.col("stem")))
+    wrong = F.when(F.col("meant").isNotNull(), F.col("stem").isNull() | ~fits).otherwise(F.lit(False)) | F.col("broken")
     misread = judged.where(wrong).select("src", "word_id", F.lit("misread").alias("kind"), "meant")
     return pages.select("src", "word_id", "kind", F.col("joined").alias("correction")).unionByName(misread.withColumnRenamed("meant", "correction")).groupBy("src", "word_id", "kind").agg(F.max("correction").alias("correction"))
 
