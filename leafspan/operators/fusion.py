@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leafspan.functions import geometry as G
 from leafspan.functions.text import tokens
 from leafspan.operators.matching import BOX, PAGE
+from leafspan.session import cut
 
 #: Fixed values of the placement: page width, margin, extra line height, space in character widths, sizes where nothing is known.
 PAGE_WIDTH, MARGIN, LEADING, SPACE, CHAR_W, CHAR_H = 612.0, 10.0, 5.0, 0.3, 10.0, 15.0
@@ -170,7 +171,7 @@ def fuse(vlm: DataFrame, words: DataFrame) -> DataFrame:
     without located words nothing.
     """
     words = words.where(F.coalesce("text", F.lit("")) != "")
-    a = align(vlm, words)
+    a = cut(align(vlm, words))
     boxes = words.select("word_id", *BOX)
     matched = a.where("word_id is not null").join(boxes, "word_id").select(*PAGE, F.col("idx").alias("o"), F.lit(0).cast("bigint").alias("k"), F.col("token").alias("text"), *BOX, F.lit("vlm_matched").alias("status"), F.when(F.col("step") <= 2, 1.0).otherwise(0.9).alias("confidence"))
     there = words.select(*PAGE).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leafspan.functions import geometry as G
 from leafspan.functions.text import compare_key, concatenated, garbage, similarity
 from leafspan.operators.matching import BOX, PAGE, WordMatch, banded_pairs, greedy_assign, match_score
+from leafspan.session import cut
 
 
 @dataclass(frozen=True)
@@ -199,7 +200,8 @@ def harmonize(words: DataFrame, config: Config = Config()) -> DataFrame:
     secondaries have. Rows of engines that are not enabled are ignored. word_id is that of the row the box comes from.
     """
     words = words.where(F.col("engine").isin([config.primary, *config.secondaries]))
-    matches = match_secondaries(words, config)
+    words = cut(words)
+    matches = cut(match_secondaries(words, config))
     ballots = votes(words, matches, config).withColumnRenamed("weight", "_w")
     like = likeness(ballots, known_words(words, config))
     boost = F.when((F.coalesce("likeness", F.lit(0.0)) > 0.7) & (F.length("text") > 5), 1 + (F.col("likeness") - 0.7) * 1.67).otherwise(1.0)
@@ -214,7 +216,7 @@ def harmonize(words: DataFrame, config: Config = Config()) -> DataFrame:
     solo = solo.join(backed, "word_id", "left").select(
         *PAGE, "word_id", *BOX, "text", solo_status(F.col("confidence"), F.coalesce("_backed", F.lit(False)), config).alias("status"), source_letters(F.array("engine"), config).alias("source"), "confidence"
     )
-    everything = rows.unionByName(solo)
+    everything = cut(rows.unionByName(solo))
     everything = everything.join(fragments(everything), "word_id", "left_anti")
     order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "word_id")
     return everything.withColumn("position", F.row_number().over(order).cast("bigint") - 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafspan.functions import geometry as G
 from leafspan.operators.matching import BOX, PAGE, banded_pairs
+from leafspan.session import cut
 
 
 @dataclass(frozen=True)
@@ -136,8 +137,9 @@ def clusters(words: DataFrame, config: Config = Config()) -> DataFrame:
 
 def reading_order(words: DataFrame, config: Config = Config()) -> DataFrame:
     """file_id, page, word_id, cluster, band, row, position: clusters in bands from top to bottom, in a band from left to right, in a cluster row by row."""
-    fuzz = y_fuzz(words, config)
-    c = clusters(words, config)
+    words = cut(words)
+    fuzz = cut(y_fuzz(words, config))
+    c = cut(clusters(words, config))
     one = c.select(*PAGE, "cluster", "c_x0", "c_y0", "c_y1").distinct().join(fuzz, PAGE)
     by_top = Window.partitionBy(*PAGE).orderBy("c_y0", "cluster")
     low = F.max("c_y1").over(by_top.rowsBetween(Window.unboundedPreceding, -1))

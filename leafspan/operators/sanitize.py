@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafspan.functions import patterns as P
 from leafspan.functions.text import core_of, digit_ratio, like_case, prefix_of, suffix_of
+from leafspan.session import cut
 
 #: Signs that are read for each other: (pattern, read for, probability, place of the sign in the word or None).
 CONFUSIONS = (
@@ -172,7 +173,8 @@ def preserve_reason(text: Column, confidence: Column, exact: Column, exact_core:
 
 
 def sanitize(words: DataFrame, terms: DataFrame, config: Config = Config(), ranked: bool = True) -> DataFrame:
-    """``words`` (file_id, page, word_id, text, confidence, engine) with status, sanitized_text, edit_distance, correction_score and matched_dictionary.
+    """``words`` (file_id, page, word_id, text, confidence, engine) with status, sanitized_text, edit_distance, correction_score and matched_dictionary;
+    columns that had these names are replaced.
 
     The phases in order: skip, preserve, correct (two edits), context (three), uncertain. Candidates are looked up once for each distinct core; the factors
     that depend on the place (document, bigram) are joined to the candidates of the words that reach these phases. Of equal scores the smaller distance
@@ -184,6 +186,7 @@ def sanitize(words: DataFrame, terms: DataFrame, config: Config = Config(), rank
     bare = exact_lookup(w.select("core").distinct(), terms, config, "core").withColumnRenamed("exact_dictionary", "_core")
     w = neighbours(w, order, ["word_id"]).join(whole, "text").join(bare, "core")
     w = w.withColumn("_skip", skip_reason(F.col("text"), F.col("confidence"), F.col("engine"), config)).withColumn("_keep", preserve_reason(F.col("text"), F.col("confidence"), F.col("_whole"), F.col("_core"), config))
+    w = cut(w)
     open_ = w.where("_skip is null and _keep is null and core <> ''")
     pairs = similar_pairs(open_.select(F.lower("core").alias("query")), terms, config.context_edits, "query", "term_lower")
     entries = terms.select("term_lower", "term", "dictionary", "weight", _rank_of(F.col("dictionary"), config).alias("rank"))
@@ -210,8 +213,9 @@ def sanitize(words: DataFrame, terms: DataFrame, config: Config = Config(), rank
     corrected, context = F.coalesce(F.col("a.score") >= config.correct_score, F.lit(False)), F.coalesce(F.col("b.score") >= config.context_score, F.lit(False))
     made = lambda c: F.concat(prefix_of(F.col("text")), like_case(F.col(f"{c}.term"), F.col("core")), suffix_of(F.col("text")))
     pick = lambda skip, keep, a, b, other: F.when(F.col("_skip").isNotNull(), skip).when(F.col("_keep").isNotNull(), keep).when(corrected, a).when(context, b).otherwise(other)
+    made_here = ("status", "sanitized_text", "edit_distance", "correction_score", "matched_dictionary")
     return r.select(
-        *words.columns,
+        *[c for c in words.columns if c not in made_here],
         pick(F.lit("skipped"), F.lit("preserved"), F.when(F.col("a.d") == 0, "preserved").otherwise("corrected"), F.lit("context"), F.lit("uncertain")).alias("status"),
         pick(F.col("text"), F.col("text"), made("a"), made("b"), F.col("text")).alias("sanitized_text"),
         pick(F.lit(0), F.lit(0), -F.col("a.d"), -F.col("b.d"), F.lit(0)).cast("bigint").alias("edit_distance"),

@@ -16,7 +16,7 @@ from leafspan.operators import harmonize as H
 from leafspan.operators import layout as L
 from leafspan.operators import matching as M
 from leafspan.operators import sanitize as S
-from leafspan.session import shared_folder
+from leafspan.session import cut, shared_folder
 from leafspan.plans.base import BOX, EW, HW, SW, core, engine_rows, harmonized_rows, slim_rows
 from leafspan.sources import table
 from leafspan.streaming.words import tagged_stream, windowed_counts, word_stream
@@ -424,9 +424,10 @@ def stream_deduplicated(spark, d):
 
 def flagship(spark, d):
     """Engine words harmonised, put in reading order, sanitised and tagged."""
-    h = H.harmonize(engine_rows(spark, d)).drop("position")
+    h = cut(H.harmonize(engine_rows(spark, d)).drop("position"))
     order = L.reading_order(h.where("text <> ''")).select("word_id", "position")
     clean = S.sanitize(h.withColumn("engine", F.lit("")), _entries(spark, d)).select("word_id", "sanitized_text", F.col("status").alias("sanitize_status"))
+    clean = cut(clean)
     names = _entries(spark, d).where("dictionary = 'place'").select(F.col("term").alias("name"))
     tagged = E.tag_entities(h.join(clean, "word_id"), names, text="sanitized_text")
     return tagged.join(order, "word_id").select(*PAGE, "position", "word_id", "text", "sanitized_text", "status", "sanitize_status", "source", "entity")

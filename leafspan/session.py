@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pathlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,24 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "1
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once per application, so that they find it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="leafspan-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/leafspan.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(f"{folder}/leafspan.zip")
+    _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir of the session, which all executors share; a temporary one only where
     none is set (local work)."""
