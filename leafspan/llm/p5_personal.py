@@ -24,6 +24,8 @@ from leafspan.llm.pages import all_words, is_header, layout, near, pages_in_cont
 KINDS = ("email", "phone", "idno", "address", "name")
 _DIGIT = "0-9OoIlSsBZzgqGTAi|"
 _NUMBER = re.compile(rf"^[(+]*[{_DIGIT}xvj]*[0-9][{_DIGIT}a-z().+/\-‐–]*$")
+#: Signs that recognition puts into values.
+_STRAY = re.compile(r"[*~`'’^:|]")
 _TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "mme", "herr", "frau", "jr", "sr"}
 _CAPTIONS = {"phone": ("phone", "mobile", "tel", "fax", "telephone", "cell"), "name": ("name", "owner", "patient", "contact", "signed", "client"), "email": ("email", "e-mail")}
 _STREETS = ("street", "st", "avenue", "ave", "road", "rd", "lane", "ln", "way", "court", "ct", "crescent", "terrace", "blvd", "boulevard", "drive", "dr", "place", "square")
@@ -60,7 +62,7 @@ def _trigger(text: str) -> bool:
     t, low = _word(text), _low(text)
     if "@" in t or t[-1:] in ":.;,":
         return True
-    if low in ("at", "of", "or", "0f", "oi", "ot", "oj", "cf", "af", "id", "io", "1d", "ld", "fax", "tel", "no", "rio") or len(low) <= 4 and any(c.isdigit() for c in low):
+    if low in ("at", "of", "or", "0f", "oi", "ot", "oj", "cf", "af", "id", "io", "1d", "ld", "|d", "lo", "10", "fax", "tel", "no", "rio") or len(low) <= 4 and any(c.isdigit() for c in low):
         return True
     return any(near(low, x, 2) for x in _OPENINGS)
 
@@ -72,7 +74,7 @@ def _digits(text: str) -> int:
 @lru_cache(MEMO)
 def _numeric(text: str) -> bool:
     """Digits with their usual signs, some of them perhaps misread."""
-    t = _word(text).strip(".,;:?!")
+    t = _STRAY.sub("", _word(text).strip(".,;:?!"))
     return bool(t) and (bool(_NUMBER.match(t)) and _digits(t) * 2 >= sum(c.isalnum() for c in t) or bool(re.fullmatch(rf"[{_DIGIT}]{{1,4}}", t)) and _digits(t) > 0)
 
 
@@ -146,8 +148,8 @@ class Reader:
         while j < len(self.w) and j - i < 6:
             if same_line and self.line[j] != self.line[i]:
                 break
-            w = _word(self.w[j])
-            if not (_numeric(w) or re.fullmatch(r"[(+]?[0-9A-Za-z]{1,4}\)?[-.]?", w) and _digits(w) and j > i):
+            w = _STRAY.sub("", _word(self.w[j]))
+            if not (_numeric(w) or re.fullmatch(r"[(+]?[0-9A-Za-z]{1,4}\)?[-.]?", w) and _digits(w) and (j > i or len(w) <= 3)):
                 break
             if re.search(r"/", w) and got >= 7:
                 break
@@ -186,7 +188,8 @@ class Reader:
         j = i
         if _numberish(w[i], 1) or re.fullmatch(r"[0-9A-Za-z]{0,2}[0-9]{2,4}[0-9A-Za-z]?", _word(w[i])):
             j = i + 1
-            if j < n and _is(w[j], *_ROMANCE) and (_word(w[j])[:1].islower() or j + 1 < n and _low(w[j + 1]) in _LINK):
+            linked = j + 1 < n and _low(w[j + 1]) in _LINK and any(near(_low(w[j]), x, 1) for x in _ROMANCE)
+            if linked or j < n and _is(w[j], *_ROMANCE) and (_word(w[j])[:1].islower() or j + 1 < n and _low(w[j + 1]) in _LINK):
                 j += 1
                 while j < n and (_low(w[j]) in _LINK or len(_low(w[j])) <= 3 and _word(w[j])[:1].islower()):
                     j += 1
@@ -251,7 +254,7 @@ def page_values(words: list[str], line: list[int]) -> list[str | None]:
             return "email"
         if colon and _is(t, "ssn", "mrn") or near(_low(t), "ssn", 1) and colon and t.isupper() or near(_low(t), "mrn", 1) and colon and t.isupper():
             return "idno"
-        if _is(t, "passport", "licence", "license", "insurance", "chart") or _low(t) in ("id", "io", "1d", "ld") and i and _is(w[i - 1], "tax", "patient"):
+        if _is(t, "passport", "licence", "license", "insurance", "chart") or _low(t) in ("id", "io", "1d", "ld", "|d", "lo", "10") and i and _is(w[i - 1], "tax", "patient"):
             return "idno"
         if _is(t, "no", "rio") and i and _is(w[i - 1], "passport", "licence", "license", "insurance", "chart", "security"):
             return "idno"
@@ -259,7 +262,7 @@ def page_values(words: list[str], line: list[int]) -> list[str | None]:
             return "idno"
         if t[-1:] in ":;." and t[:1].isupper() | t[:1].isdigit() and any(near(_low(t), x, 1) for x in _CAPTIONS["name"]) and t[-1:] != ".":
             return "name"
-        if t[-1:] in ":;" and near(_low(t), "address", 2):
+        if t[-1:] in ":;" and near(_low(t), "address", 2) or t[:1].isupper() and near(_low(t), "address", 1) and (i == 0 or line[i - 1] != line[i]):
             return "address"
         return None
 
@@ -277,7 +280,7 @@ def page_values(words: list[str], line: list[int]) -> list[str | None]:
                 r.mark(start, end, "email")
                 i = end
                 continue
-        if low == "at" and 0 < i < n - 1 and re.match(r"^[A-Za-z0-9][\w.-]*\.[a-z]{2,7}[.,;:?]?$", _word(w[i + 1])) and not _numeric(w[i + 1]):  # "name [at] domain"
+        if low == "at" and 0 < i < n - 1 and re.match(r"^[A-Za-z0-9][\w.-]*\.[A-Za-z]{2,7}[.,;:?]?$", _word(w[i + 1])) and not _numeric(w[i + 1]):  # "name [at] domain"
             r.mark(i - 1, i + 2, "email")
             i += 2
             continue
@@ -338,7 +341,7 @@ def page_values(words: list[str], line: list[int]) -> list[str | None]:
             continue
         elif low in ("of", "or", "0f", "oi", "ot", "oj", "cf", "af") and j < n and (_named(w[j]) or _low(w[j]) in _TITLES):
             end = r.name(j)
-            if end > j and end < n and near(_low(w[end]), "under", 1) and end + 1 < n and (caption(end + 1) or _is(w[end + 1], "social", "tax", "patient", "insurance", "chart", "passport", "licence", "ssn", "mrn")):
+            if end > j and end < n and near(_low(w[end]), "under", 1) and end + 1 < n and (caption(end + 1) or _is(w[end + 1], "social", "tax", "patient", "insurance", "chart", "passport", "licence", "ssn", "mrn") or len(_low(w[end + 1])) > 3 and w[end + 1][-1:] in "-‐–¬\xad" and any(x.startswith(_low(w[end + 1]).rstrip("-‐–¬")) for x in ("passport", "insurance", "social", "patient", "licence"))):
                 while j < end and _low(w[j]) in _TITLES:
                     j += 1
                 r.mark(j, end, "name")
