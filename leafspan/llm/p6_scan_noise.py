@@ -21,6 +21,8 @@ from leafspan.session import cut
 
 #: Occurrences from which a word can be what another was meant to be.
 FREQUENT = 12
+#: Letters from which two separate edits are no chance.
+APART = 7
 _MARKS = "-‐‑‒–—¬­"
 #: Signs that are read for one other sign.
 LOOKALIKES = (("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("nn", "m"))
@@ -141,13 +143,28 @@ def _value(c: F.Column) -> F.Column:
     return F.shiftright(F.xxhash64(c), 8)
 
 
-def _hashes(words: DataFrame, keep: list[str]) -> DataFrame:
-    """Each word with its anagram hash less nothing, less each letter and less each pair of letters side by side."""
-    values = F.transform(F.split("word", ""), _value)
-    w = words.withColumn("_v", values).withColumn("_h", F.aggregate("_v", F.lit(0).cast("bigint"), lambda s, x: s + x))
-    one = F.transform("_v", lambda x: F.col("_h") - x)
-    two = F.when(F.length("word") >= 4, F.zip_with(F.slice("_v", F.lit(1), F.size("_v") - 1), F.slice("_v", F.lit(2), F.size("_v") - 1), lambda x, y: F.col("_h") - x - y)).otherwise(F.array().cast("array<bigint>"))
-    return w.select(*keep, F.explode(F.array_distinct(F.concat(F.array("_h"), one, two))).alias("h")).where("h <> 0")
+def _less(text: F.Column, letters: int) -> F.Column:
+    """h, side of a text: its anagram hash less nothing, less each letter and, for two ``letters``, less any two of them; side is whether what was taken away stands side by side."""
+    v = F.transform(F.split(text, ""), _value)
+    entry = lambda h, side: F.struct(h.alias("h"), F.lit(side).alias("side"))
+    two = lambda h, start, n, side: F.flatten(F.transform(v, lambda x, i: F.transform(F.slice(v, i + start, n), lambda y: entry(h - x - y, side))))
+
+    def of(h: F.Column) -> F.Column:
+        out = [F.array(entry(h, True)), F.transform(v, lambda x: entry(h - x, True))]
+        if letters == 2:
+            # only words from five letters on may be two edits away
+            out += [F.when(F.length(text) >= 4, two(h, 2, F.lit(1), True)), F.when(F.length(text) >= 5, two(h, 3, F.size(v), False))]
+        return F.flatten(F.array_compact(F.array(*out)))
+
+    return F.get(F.transform(F.array(F.aggregate(v, F.lit(0).cast("bigint"), lambda s, x: s + x)), of), F.lit(0))
+
+
+def _hashes(words: DataFrame, keep: list[str], variants: bool = False) -> DataFrame:
+    """Each word with its anagram hash less nothing, less each letter and less any two letters, so that all pairs within two edits meet;
+    with ``variants`` also the hashes, less nothing and less each letter, of the word with two signs read as the one they look like."""
+    other = [F.when(F.contains("word", F.lit(pair)), _less(F.replace("word", F.lit(pair), F.lit(sign)), 1)) for pair, sign in LOOKALIKES] if variants else []
+    hashes = F.flatten(F.array_compact(F.array(_less(F.col("word"), 2), *other)))
+    return words.select(*keep, F.explode(F.array_distinct(hashes)).alias("h")).select(*keep, "h.*").where("h <> 0")
 
 
 def misread_words(counts: DataFrame, frequent: int = FREQUENT) -> DataFrame:
@@ -155,22 +172,25 @@ def misread_words(counts: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     frequent word. Words nearly always written with a capital are names and no misreadings of words that are not.
 
     How much commoner the frequent word must be depends on the length: short words have many neighbours of their own.
-    Ties between corrections go to the commoner word, then to the first in order. Words without letters are left alone.
+    All pairs within two edits are compared. Two edits that do not stand side by side count from APART letters on, or where the word has signs
+    that are no letters: shorter words have chance neighbours at that distance. The nearest word is the correction, then one whose edits
+    stand side by side, then the commoner, then the last in order. Words without letters are left alone.
     """
     words = counts.where(F.col("word").rlike(r"\p{L}") & F.length("word").between(2, 100))
     words = words.withColumn("proper", (F.col("capital") >= 0.85 * F.col("n")) & (F.col("n") >= 8))
     known = words.where((F.col("n") >= frequent) & F.col("word").rlike(r"^[\p{L}'’-]+$")).select("word", "n", "proper")
-    left = _hashes(words.select("word", "n", "proper"), ["word", "n", "proper"])
-    right = _hashes(known, ["word", "n", "proper"]).select(F.col("word").alias("meant"), F.col("n").alias("n_meant"), F.col("proper").alias("proper_meant"), "h")
+    left = _hashes(words.select("word", "n", "proper"), ["word", "n", "proper"], variants=True)
+    right = _hashes(known, ["word", "n", "proper"]).select(F.col("word").alias("meant"), F.col("n").alias("n_meant"), F.col("proper").alias("proper_meant"), "h", F.col("side").alias("side_meant"))
     need = F.when(F.length("meant") <= 2, 100).when(F.length("meant") == 3, 40).when(F.length("meant") == 4, 20).when(F.length("meant") == 5, 12).otherwise(8)
-    pairs = left.join(right, "h").where((F.col("word") != F.col("meant")) & (F.col("n_meant") >= need * F.col("n")) & ~(F.col("proper") & ~F.col("proper_meant"))).select("word", "meant", "n", "n_meant").distinct()
+    pairs = left.join(right, "h").where((F.col("word") != F.col("meant")) & (F.col("n_meant") >= need * F.col("n")) & ~(F.col("proper") & ~F.col("proper_meant"))).groupBy("word", "meant", "n", "n_meant").agg(F.max(F.col("side") & F.col("side_meant")).alias("side"))
     d = F.levenshtein("word", "meant")
     # two signs read for one are one misreading
     d = F.least(d, *[F.when(F.contains("word", F.lit(pair)), F.levenshtein(F.replace("word", F.lit(pair), F.lit(sign)), F.col("meant")) + 1) for pair, sign in LOOKALIKES])
     pairs = pairs.withColumn("d", d).where((F.col("d") <= 2) & (F.length("meant") >= F.when(F.col("d") == 2, 5).otherwise(2)) & (F.col("n_meant") >= need * F.col("n") * F.when(F.col("d") == 2, 3).otherwise(1)))
+    pairs = pairs.where((F.col("d") < 2) | F.col("side") | (F.least(F.length("word"), F.length("meant")) >= APART) | F.col("word").rlike(r"[^\p{L}\p{M}'’-]"))
     # an inflection is no misreading
     inflected = (F.regexp_replace("word", r"['’]?s$", "") == F.regexp_replace("meant", r"['’]?s$", "")) & (F.length("meant") > 1)
-    best = F.max(F.struct((F.log("n_meant") - 3 * F.col("d")).alias("s"), F.col("n_meant"), F.col("meant")))["meant"]
+    best = F.max(F.struct((-F.col("d")).alias("s"), F.col("side"), F.col("n_meant"), F.col("meant")))["meant"]
     return pairs.where(~inflected).groupBy("word").agg(best.alias("meant"))
 
 

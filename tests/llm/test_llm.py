@@ -221,6 +221,21 @@ def test_misread_words(spark):
     assert p6.misread_words(counts.limit(0)).count() == 0
 
 
+def test_misread_words_with_separate_edits(spark):
+    counts = spark.createDataFrame([("approved", 475, 20), ("opprovcd", 1, 0), ("period", 186, 10), ("peri0cl", 1, 0), ("summary", 686, 40), ("surnmarv", 1, 0), ("order", 125, 5), ("vorzer", 2, 2), ("over", 100, 5), ("every", 2754, 90), ("0ver", 1, 0)], "word string, n bigint, capital bigint")
+    assert {r.word: r.meant for r in p6.misread_words(counts).collect()} == {"opprovcd": "approved", "peri0cl": "period", "surnmarv": "summary", "0ver": "over"}
+
+
+def test_hashes_meet_within_two_edits(spark):
+    rng = random.Random(6)
+    make = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(5, 8)))
+    words = sorted({make() for _ in range(150)})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    h = p6._hashes(df, ["word"])
+    met = {(r.word, r.other) for r in h.join(h.select(h.word.alias("other"), "h"), "h").select("word", "other").distinct().collect()}
+    assert {(a, b) for a in words for b in words if bktree.levenshtein(a, b) <= 2} <= met
+
+
 def test_noise_and_personal_words_of_odd_tables(spark):
     schema = "src string, file_id bigint, page bigint, word_id bigint, text string, y0 double, y1 double"
     df = spark.createDataFrame([("a", 1, 0, 1, None, 40.0, 50.0), ("a", 1, 0, 2, "", None, None), ("a", 1, 0, 3, "x" * 5000, 40.0, 50.0), ("a", None, 0, 4, "y", 1.0, 2.0), ("a", 1, 0, 3, "x" * 5000, 40.0, 50.0)], schema)
