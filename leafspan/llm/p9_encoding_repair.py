@@ -3,8 +3,9 @@
 Every distinct clean word of the corpus, and every distinct run of letters outside ASCII, is put through all encoding chains;
 the garbled forms make a table that is hash-joined with the corpus vocabulary and through it with the documents' words.
 A form counts as garbled where the word it comes from is commoner than the form itself: in the same language for chains
-between single-byte encodings, whose output can be proper text of another language, and in the whole corpus for
-chains that read UTF-8 bytes, whose output never is.
+between single-byte encodings, whose output can be proper text of another language (forms of four characters on in the whole
+corpus, too), and in the whole corpus for chains that read UTF-8 bytes, whose output never is. A document without a language has the one that
+most of its words are from.
 """
 
 from __future__ import annotations
@@ -96,11 +97,27 @@ def words_of(docs: DataFrame, key: str, text: str, lang: str | None) -> DataFram
     return docs.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("doc"), code.alias("lang"), F.explode(found).alias("word"))
 
 
-def garbled_words(words: DataFrame) -> DataFrame:
-    """lang, word, original, proof: the garbled words of the vocabulary; original is null where signs are lost, and
-    only words with proof make a document garbled."""
-    by_lang = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    by_lang = cut(by_lang)
+def told_languages(open_: DataFrame, by_lang: DataFrame) -> DataFrame:
+    """doc, told: the language that most of a document's words are from, for the documents of ``open_``; each word counts for its
+    languages by their shares of it in ``by_lang``. Documents without a word that a document with a language has are left out."""
+    n = by_lang.where("lang <> ''").select("word", F.col("lang").alias("told"), "n")
+    share = n.join(n.groupBy("word").agg(F.sum("n").alias("all")), "word").select("word", "told", (F.col("n") / F.col("all")).alias("share"))
+    votes = open_.select("doc", "word").join(share, "word").groupBy("doc", "told").agg(F.round(F.sum("share"), 6).alias("votes"))
+    return votes.groupBy("doc").agg(F.max(F.struct("votes", "told"))["told"].alias("told"))
+
+
+def words_in_languages(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``words`` with the told language where a document has none, and lang, word, n: in how many documents of a language a word is."""
+    by_lang = cut(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    open_ = words.where("lang = ''")
+    told = cut(open_.join(told_languages(open_, by_lang), "doc", "left").select("doc", F.coalesce("told", "lang").alias("lang"), "word"))
+    counts = by_lang.where("lang <> ''").unionByName(told.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    return words.where("lang <> ''").unionByName(told), cut(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+
+
+def garbled_words(by_lang: DataFrame) -> DataFrame:
+    """lang, word, original, proof: the garbled words of the vocabulary ``by_lang`` (lang, word, n); original is null where signs are lost,
+    and only words with proof make a document garbled."""
     overall = by_lang.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "word", "n")
     vocabulary = by_lang.where("lang <> ''").unionByName(overall).where(F.col("word").rlike(r"[\p{L}\ufffd]"))
     byte_level = _dominant(vocabulary.mapInPandas(_all_forms(byte_forms), FORMS), vocabulary)
@@ -134,8 +151,8 @@ def garbled_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Null, empty and ASCII texts have none; repeated rows give one row per key and word; texts of any length are read
     whole; without ``lang`` the corpus is taken as one language. The vocabulary is joined by hash and never sent to the driver.
     """
-    words = words_of(docs, key, text, lang)
-    return words.join(garbled_words(words), ["lang", "word"]).select("doc", "word", "original", "proof").distinct()
+    words, by_lang = words_in_languages(words_of(docs, key, text, lang))
+    return words.join(garbled_words(by_lang), ["lang", "word"]).select("doc", "word", "original", "proof").distinct()
 
 
 def repair_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:

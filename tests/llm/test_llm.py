@@ -293,3 +293,11 @@ def test_repair(spark):
     assert set(out) == set(bad)
     assert out[100].repaired == clean[0] and out[101].repaired == clean[2] and out[102].repaired == clean[1] and out[103].n_lost == 1
     assert p9.repair_documents(df.limit(0)).count() == 0
+
+
+def test_short_garbles_of_documents_without_language(spark):
+    rows = [(i, "Grüße für Müller" if i % 2 else "déjà été là", "de" if i % 2 else "fr") for i in range(40)]
+    odd = [(100, "Müller f³r Grüße", None), (101, "f³r", "und"), (102, "Müller für Grüße", None), (103, "x³y", None), (104, "là été", " ")]
+    df = spark.createDataFrame(rows + [(50, "f³r und Grüße", "de")] + odd, "doc_id bigint, text string, lang string")
+    out = {r.doc_id: r.repaired for r in p9.repair_documents(df).collect()}
+    assert out == {50: "für und Grüße", 100: "Müller für Grüße", 101: "für"}
