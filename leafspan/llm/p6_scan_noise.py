@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -234,43 +234,83 @@ _PARAGRAPHS = T.ArrayType(T.StructType([T.StructField("paragraph", T.StringType(
 _ARROW_PARAGRAPHS = pa.list_(pa.struct([("paragraph", pa.string()), ("continues", pa.bool_())]))
 
 
-@F.arrow_udf(_PARAGRAPHS)
-def _paragraphs(texts: pa.Array, y0: pa.Array, y1: pa.Array, own: pa.Array, page: pa.Array, around: pa.Array, fixes: pa.Array, ids: pa.Array) -> pa.Array:
-    out = []
-    for t, a, b, o, p, n, f, i in zip(*(x.to_pylist() for x in (texts, y0, y1, own, page, around, fixes, ids))):
-        _, joins, _, lines = page_kinds(t, a, b, o, p, n or [])
-        fix = {x["word_id"]: x["correction"] for x in f or []}
-        begun = {k: (m, w) for k, m, w in joins if k >= 0}
-        skip = {m for _, m, _ in joins if m >= 0}
-        width = max((len(l) for l in lines), default=0)
-        paragraphs, now = [], []
-        for l in lines:
-            # a divided word stands whole where it began; of one begun on the page before nothing is left here
-            for k in l:
-                if k in begun:
-                    now.append(begun[k][1])
-                elif k not in skip and not (k - 1 in begun and not bare(t[k]).strip(_MARKS)):
-                    w = t[k].strip()
-                    c = fix.get(i[k])
-                    now.append(w if c is None else c.capitalize() if w[:1].isupper() else c)
-            if now and (len(l) < 0.55 * width and not (l[-1] in begun) or now[-1][-1:] in ".?!;" and len(l) < 0.8 * width):
-                paragraphs.append(" ".join(now))
-                now = []
-        if now:
+_RIM = re.compile(r"^([\W_]*)(.*?)([\W_]*)$", re.S)
+#: Signs that print has not: at the rim of a misread word they are part of the misreading.
+_STRAY = str.maketrans("", "", "*~`^|\\_")
+
+
+def corrected(text: str, correction: str | None) -> str:
+    """``correction`` with the edge signs and the case of ``text``."""
+    if correction is None:
+        return text
+    before, core, after = _RIM.match(text).groups()
+    if sum(c.isalpha() for c in core) > 1 and core.isupper():
+        correction = correction.upper()
+    elif core[:1].isupper():
+        correction = correction[:1].upper() + correction[1:]
+    return before.translate(_STRAY) + correction + after.translate(_STRAY)
+
+
+def page_paragraphs(t: list[str], y0: list[float], y1: list[float], own: dict, page: int, near: list[dict], fixes: list[dict], after: list[dict], ids: list[int]) -> list[dict]:
+    """The paragraphs of a page; ``fixes`` has the corrections of its words (word_id, correction, and joined for pieces), ``after``
+    those of the next page."""
+    _, joins, _, lines = page_kinds(t, y0, y1, own, page, near)
+    fix = {x["word_id"]: x["correction"] for x in fixes}
+    whole = {x["joined"]: x["correction"] for x in [*after, *fixes] if x["joined"]}
+    begun = {k: (m, w) for k, m, w in joins if k >= 0}
+    skip = {m for _, m, _ in joins if m >= 0}
+    width = max((len(l) for l in lines), default=0)
+    paragraphs, now = [], []
+    for l in lines:
+        # a divided word stands whole where it began; of one begun on the page before nothing is left here
+        for k in l:
+            if k in begun:
+                now.append(corrected(begun[k][1], whole.get(begun[k][1])))
+            elif k not in skip and not (k - 1 in begun and not bare(t[k]).strip(_MARKS)):
+                now.append(corrected(t[k].strip(), fix.get(ids[k])))
+        if now and (len(l) < 0.55 * width and not (l[-1] in begun) or now[-1][-1:] in ".?!;" and len(l) < 0.8 * width):
             paragraphs.append(" ".join(now))
-        out.append([{"paragraph": x, "continues": k == 0 and (bool(lines) and lines[0][0] in skip or x[:1].islower())} for k, x in enumerate(paragraphs)])
-    return pa.array(out, _ARROW_PARAGRAPHS)
+            now = []
+    if now:
+        paragraphs.append(" ".join(now))
+    return [{"paragraph": x, "continues": k == 0 and (bool(lines) and lines[0][0] in skip or x[:1].islower())} for k, x in enumerate(paragraphs)]
+
+
+@F.arrow_udf(_PARAGRAPHS)
+def _paragraphs(texts: pa.Array, y0: pa.Array, y1: pa.Array, own: pa.Array, page: pa.Array, around: pa.Array, fixes: pa.Array, after: pa.Array, ids: pa.Array) -> pa.Array:
+    columns = zip(*(x.to_pylist() for x in (texts, y0, y1, own, page, around, fixes, after, ids)))
+    return pa.array([page_paragraphs(t, a, b, o, p, n or [], f or [], g or [], i) for t, a, b, o, p, n, f, g, i in columns], _ARROW_PARAGRAPHS)
+
+
+def joined_over_pages(made: DataFrame) -> DataFrame:
+    """src, file_id, page, position, paragraph, to_page from the paragraphs of pages: one that continues is put to the last one of the page
+    before. The page it begins on is carried along one small row per page in a running window; texts meet only within a paragraph."""
+    by, order = ["src", "file_id"], Window.partitionBy("src", "file_id").orderBy("page")
+    pages = made.groupBy(*by, "page").agg(F.max("position").alias("last"), F.max("continues").alias("continues"))
+    pages = pages.withColumn("continues", F.col("continues") & F.coalesce(F.lag("page").over(order) == F.col("page") - 1, F.lit(False)))
+    # the paragraph that stands last on a page begins there unless the page has only one, which continues
+    ends = F.when(~F.col("continues") | (F.col("last") > 0), F.struct("page", F.col("last").alias("position")))
+    pages = pages.withColumn("ends", F.last(ends, ignorenulls=True).over(order)).withColumn("begin", F.when(F.col("continues"), F.lag("ends").over(order)))
+    p = made.drop("continues").join(pages.where("continues").select(*by, "page", F.lit(0).alias("position"), "begin"), [*by, "page", "position"], "left")
+    p = p.select(*by, F.coalesce("begin", F.struct("page", "position")).alias("begin"), F.struct("page", "paragraph").alias("part"))
+    parts = F.array_sort(F.collect_list("part"))
+    return p.groupBy(*by, "begin").agg(parts.alias("parts")).select(*by, "begin.page", F.col("begin.position").cast("bigint").alias("position"), F.concat_ws(" ", "parts.paragraph").alias("paragraph"), F.element_at("parts", -1)["page"].alias("to_page"))
 
 
 def repaired_text(words: DataFrame) -> DataFrame:
-    """src, file_id, page, position, paragraph, continues: the body of each page as paragraphs, with divided words joined where they began,
-    corrections of misread words put in place and margins left out; ``continues`` marks a paragraph that carries on the last one of the page before."""
-    noise = find_noise(words).where("kind = 'misread' and correction is not null").select("src", "word_id", "correction")
+    """src, file_id, page, position, paragraph, to_page: the body of each file as paragraphs, by the page and the position on it where each
+    begins, and the page where it ends. Divided words are joined where they began, corrections of misread words stand between the signs at the word's edges
+    and in its case, and margins are left out. A paragraph that carries on over a page break is one, unless the next page is missing or has no text."""
+    noise = cut(find_noise(words))
+    joined = noise.where("kind = 'hyphen' and correction is not null").select("src", "word_id", F.col("correction").alias("joined"))
+    noise = noise.where("kind = 'misread' and correction is not null").select("src", "word_id", "correction").join(joined, ["src", "word_id"], "left")
     place = words.select("src", "word_id", "file_id", "page").distinct()
-    fixes = noise.join(place, ["src", "word_id"]).groupBy("src", "file_id", "page").agg(F.collect_list(F.struct("word_id", "correction")).alias("fixes"))
-    pages = pages_in_context(words).join(fixes, ["src", "file_id", "page"], "left")
-    made = pages.select("src", "file_id", "page", F.posexplode(_paragraphs("texts", "y0", "y1", "outline", "page", "around", "fixes", "ids")).alias("position", "p"))
-    return made.select("src", "file_id", "page", F.col("position").cast("bigint").alias("position"), "p.*")
+    fixes = noise.join(place, ["src", "word_id"]).groupBy("src", "file_id", "page").agg(F.collect_list(F.struct("word_id", "correction", "joined")).alias("fixes"))
+    fixes = cut(fixes)
+    after = fixes.select("src", "file_id", (F.col("page") - 1).alias("page"), F.filter("fixes", lambda x: x["joined"].isNotNull()).alias("after"))
+    pages = pages_in_context(words).join(fixes, ["src", "file_id", "page"], "left").join(after, ["src", "file_id", "page"], "left")
+    made = pages.select("src", "file_id", "page", F.posexplode(_paragraphs("texts", "y0", "y1", "outline", "page", "around", "fixes", "after", "ids")).alias("position", "p"))
+    return joined_over_pages(cut(made.select("src", "file_id", "page", "position", "p.*")))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,22 @@ def test_hashes_meet_within_two_edits(spark):
     assert {(a, b) for a in words for b in words if bktree.levenshtein(a, b) <= 2} <= met
 
 
+def test_corrections_keep_edges_and_case():
+    cases = {"gardcn.": "garden.", "(GARDCN)": "(GARDEN)", "“Gardcn,”": "“Garden,”", "gard*cn~": "garden"}
+    assert {t: p6.corrected(t, "garden") for t in cases} == cases and p6.corrected("x.", None) == "x."
+    one = page(["all of the mea-", "surcd gardcn. And"])
+    own = outline(layout(*one))
+    fixes = [{"word_id": 4, "correction": "measured", "joined": "measurcd"}, {"word_id": 5, "correction": "garden", "joined": None}]
+    assert [x["paragraph"] for x in p6.page_paragraphs(*one, own, 0, [], fixes, [], list(range(7)))] == ["all of the measured garden. And"]
+
+
+def test_paragraphs_go_on_over_pages(spark):
+    rows = [(0, 0, "One.", False), (0, 1, "two begins", False), (1, 0, "and goes on", True), (2, 0, "to here.", True), (2, 1, "Three", False), (4, 0, "apart", True)]
+    df = spark.createDataFrame([("a", 1, *r) for r in rows], "src string, file_id bigint, page bigint, position int, paragraph string, continues boolean")
+    out = {(r.page, r.position, r.paragraph, r.to_page) for r in p6.joined_over_pages(df).collect()}
+    assert out == {(0, 0, "One.", 0), (0, 1, "two begins and goes on to here.", 2), (2, 1, "Three", 2), (4, 0, "apart", 4)}
+
+
 def test_noise_and_personal_words_of_odd_tables(spark):
     schema = "src string, file_id bigint, page bigint, word_id bigint, text string, y0 double, y1 double"
     df = spark.createDataFrame([("a", 1, 0, 1, None, 40.0, 50.0), ("a", 1, 0, 2, "", None, None), ("a", 1, 0, 3, "x" * 5000, 40.0, 50.0), ("a", None, 0, 4, "y", 1.0, 2.0), ("a", 1, 0, 3, "x" * 5000, 40.0, 50.0)], schema)
