@@ -95,12 +95,22 @@ def test_map_to_list(spark):
     entries = spark.createDataFrame([(1, "Cardobacillin"), (2, "twin fenedorf splint"), (3, "Praunorick"), (4, None), (None, "nothing")], "term_id bigint, term string")
     cases = {"cardobacilin": 1, "Cardobac.": 1, "CARDOBACILLIN)": 1, "splint, twin fenedorf": 2, "twin-fenedorf-splint": 2, "Prauno rick": 3, "garden": -1, "": None, "  ": None, None: None, "zzz" * 3000: -1}
     df = spark.createDataFrame([(i, v, "clash") for i, v in enumerate(cases)], "id bigint, v string, entry_id string")
-    for shard in (1, 50):
-        out = {r.id: r.got for r in p3.map_to_list(df, entries, "v", "term_id", "term", "got", shard=shard).collect()}
+    for shard, block in ((1, 3), (2, 1000), (50, 1000)):
+        out = {r.id: r.got for r in p3.map_to_list(df, entries, "v", "term_id", "term", "got", shard=shard, block=block).collect()}
         assert [out[i] for i in range(len(cases))] == list(cases.values())
     assert {r.got for r in p3.map_to_list(df, entries.limit(0), "v", "term_id", "term", "got").collect()} == {-1, None}
 
 
+def test_abbreviations_are_told_apart_among_any_number(spark):
+    """Eighty entries begin alike; the only one that fits with its accents stands last in order. Shards agree with the whole list."""
+    rows = [(i, f"zephyr{i:03d}") for i in range(80)] + [(900, "zéphyrzz")]
+    entries = spark.createDataFrame(rows, "term_id bigint, term string")
+    df = spark.createDataFrame([("zéph.",), ("zeph.",), ("zephyr07.",), ("zephyr0071",), ("Zephyr 007",)] * 3, "v string")
+    for shard in (7, 1000):
+        got = {r.v: r.got for r in p3.map_to_list(df, entries, "v", "term_id", "term", "got", shard=shard, block=2).collect()}
+        assert got == {"zéph.": 900, "zeph.": -1, "zephyr07.": 7, "zephyr0071": 1, "Zephyr 007": 7}
+
+
 # -- 4
 
 
