@@ -1,25 +1,28 @@
 """Problem 5: personal values in running text, found word by word and replaced by typed placeholders.
 
-Values are told by what stands in front of and around them (captions, "Dear", "call ... at", "of ... under", "... signed") and by
-their form, with room for misread signs. Numbers and dates get format-preserving pseudonyms: a keyed Feistel network
-permutes the digits within their own format, so equal values stay linked across documents and formats stay valid.
+Every line is read, the margins too. Values are told in three ways: by the validated formats of ``formats`` wherever they stand (e-mail
+addresses, telephone numbers of the numbering plans, identity numbers with their ranges and check digits, postal addresses); by what stands in
+front of and around them (captions, "Dear", "call ... at", "of ... under", "... signed"), with room for misread signs; and names by the given
+names and surnames that the captions of the whole corpus teach. Numbers and dates get format-preserving pseudonyms: see ``pseudonyms``.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import re
-from datetime import date, timedelta
+import secrets
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
-from leafspan.llm.p6_scan_noise import margins
-from leafspan.llm.pages import all_words, is_header, layout, near, pages_in_context
+from leafspan.llm import formats
+from leafspan.llm.p6_scan_noise import LOOKALIKES, margins
+from leafspan.llm.pages import all_words, clean, layout, lines_before, lines_behind, near, page_sizes, pages_in_context
+from leafspan.llm.pseudonyms import permute_date, placeholder
+from leafspan.session import cut
 
 KINDS = ("email", "phone", "idno", "address", "name")
 _DIGIT = "0-9OoIlSsBZzgqGTAi|"
@@ -56,13 +59,20 @@ def _is(text: str, *words: str) -> bool:
     return any(near(t, w, 0 if len(w) < 4 else 1 if len(w) < 8 else 2) for w in words)
 
 
+@lru_cache(MEMO)
+def _short(text: str, word: str) -> bool:
+    """Whether a text is a word of two letters but for one sign, or for two signs that look like one of its letters."""
+    low = _low(text)
+    return any(len(x) == len(word) and near(x, word, 1) for x in (low, *(low.replace(pair, sign) for pair, sign in LOOKALIKES)))
+
+
 @lru_cache(MEMO)
 def _trigger(text: str) -> bool:
     """Whether a word can be, or stand at the end of, a caption or another opening of a value; the words of running text mostly can't."""
     t, low = _word(text), _low(text)
     if "@" in t or t[-1:] in ":.;,":
         return True
-    if low in ("at", "of", "or", "0f", "oi", "ot", "oj", "cf", "af", "id", "io", "1d", "ld", "|d", "lo", "10", "fax", "tel", "no", "rio") or len(low) <= 4 and any(c.isdigit() for c in low):
+    if low in ("at", "fax", "tel") or _short(text, "of") or _short(text, "id") or _short(text, "no") or len(low) <= 4 and any(c.isdigit() for c in low):
         return True
     return any(near(low, x, 2) for x in _OPENINGS)
 
@@ -206,7 +216,7 @@ class Reader:
             if k == j:
                 return i
             j = k
-        elif _named(w[i]) and i + 1 < n and (_GERMAN.search(_low(w[i])) or _numberish(w[i + 1], 1)):
+        elif _named(w[i]) and i + 1 < n and (_GERMAN.search(_low(w[i])) or _numberish(w[i + 1], 1)) and "/" not in w[i + 1]:
             if not (i + 2 < n and _numberish(w[i + 1], 1)) and not _GERMAN.search(_low(w[i])):
                 return i
             j = i + 2 if _digits(w[i + 1]) else i + 1
@@ -254,9 +264,9 @@ def page_values(words: list[str], line: list[int]) -> list[str | None]:
             return "email"
         if colon and _is(t, "ssn", "mrn") or near(_low(t), "ssn", 1) and colon and t.isupper() or near(_low(t), "mrn", 1) and colon and t.isupper():
             return "idno"
-        if _is(t, "passport", "licence", "license", "insurance", "chart") or _low(t) in ("id", "io", "1d", "ld", "|d", "lo", "10") and i and _is(w[i - 1], "tax", "patient"):
+        if _is(t, "passport", "licence", "license", "insurance", "chart") or _short(t, "id") and i and _is(w[i - 1], "tax", "patient"):
             return "idno"
-        if _is(t, "no", "rio") and i and _is(w[i - 1], "passport", "licence", "license", "insurance", "chart", "security"):
+        if _short(t, "no") and i and _is(w[i - 1], "passport", "licence", "license", "insurance", "chart", "security"):
             return "idno"
         if i and len(t) <= 4 and _digits(t) <= 1 and (_is(w[i - 1], "security") and i > 1 and _is(w[i - 2], "social") or _is(w[i - 1], "insurance", "passport", "licence") and w[i - 1][:1].isupper()):
             return "idno"
@@ -299,14 +309,14 @@ def page_values(words: list[str], line: list[int]) -> list[str | None]:
                 i = end
                 continue
         elif kind == "idno":
-            while j < n and j - i <= 2 and _is(w[j], "no", "rio"):
+            while j < n and j - i <= 2 and _short(w[j], "no"):
                 j += 1
             end = r.idno(j)
             if end > j:
                 r.mark(j, end, "idno")
                 i = end
                 continue
-        elif kind == "address" or near(low, "visit", 1) and i and (_is(w[i - 1], "or") or i > 1 and r.kind[i - 2] == "email" and len(_low(w[i - 1])) <= 3) or _is(t, "deliver") and t[:1].isupper():
+        elif kind == "address" or near(low, "visit", 1) and i and (_is(w[i - 1], "or") or i > 1 and r.kind[i - 2] == "email" and len(_low(w[i - 1])) <= 3) or _is(t, "deliver") and len(low) <= 7 and t[:1].isupper():
             end = r.address(j)
             if end > j:
                 r.mark(j, end, "address")
@@ -339,7 +349,7 @@ def page_values(words: list[str], line: list[int]) -> list[str | None]:
                 end = max(end, stop)
             i = max(end, i + 1)
             continue
-        elif low in ("of", "or", "0f", "oi", "ot", "oj", "cf", "af") and j < n and (_named(w[j]) or _low(w[j]) in _TITLES):
+        elif _short(t, "of") and j < n and (_named(w[j]) or _low(w[j]) in _TITLES):
             end = r.name(j)
             if end > j and end < n and near(_low(w[end]), "under", 1) and end + 1 < n and (caption(end + 1) or _is(w[end + 1], "social", "tax", "patient", "insurance", "chart", "passport", "licence", "ssn", "mrn") or len(_low(w[end + 1])) > 3 and w[end + 1][-1:] in "-‐–¬\xad" and any(x.startswith(_low(w[end + 1]).rstrip("-‐–¬")) for x in ("passport", "insurance", "social", "patient", "licence"))):
                 while j < end and _low(w[j]) in _TITLES:
@@ -365,175 +375,188 @@ def page_values(words: list[str], line: list[int]) -> list[str | None]:
                 else:
                     break
         i += 1
+    for i, end, kind in formats.values(w, line, lambda k: r.kind[k] is None):
+        r.mark(i, end, kind)
     return r.kind
 
 
-def page_tags(texts: list[str], y0: list[float], y1: list[float], own: dict, page: int, around: list[dict]) -> list[tuple[int, str]]:
-    """(place, kind) of the personal words of a page; the last words of the page before and the first of the one behind are read with it."""
+class Value(NamedTuple):
+    """A run of words of one kind: their texts in reading order and their places on the page, -1 for a word of a neighbouring page."""
+
+    kind: str
+    words: list[str]
+    places: list[int]
+
+
+def page_runs(texts: list[str], y0: list[float], y1: list[float], own: dict, page: int, around: list[dict], tall: float | None = None, names: set[str] | frozenset[str] = frozenset()) -> list[Value]:
+    """The personal values of a page: those of its body, which is read with the last lines of the page before and the first of the one behind, and
+    those of each line in its margins. ``names`` are words of the page known for names."""
     near_ = {n["d"]: n for n in around}
-    outlines = {d: n["outline"] for d, n in near_.items()}
-    p = layout(texts, y0, y1)
-    _, body = margins(p, own, page, outlines)
-    words, line, place = [], [], []
-
-    def add(ws, number, places):
-        for w, k in zip(ws, places):
-            if w:
-                words.append(w)
-                line.append(number)
-                place.append(k)
-
-    def side(n: dict, back: bool):
-        name = "last" if back else "first"
-        q = layout(n[f"{name}_texts"] or [], n[f"{name}_y0"], n[f"{name}_y1"])
-        lines = list(q.lines)
-        if back and q.foot:
-            lines.pop()
-        elif not back and lines:
-            there = {-1: own} | ({1: outlines[2]} if 2 in outlines else {}) | ({-2: outlines[-1]} if -1 in outlines else {})
-            if is_header(n["outline"], page + 1, there):
-                lines.pop(0)
-        return [[q.text[i] for i in l] for l in (lines[-2:] if back else lines[:2])]
-
-    if -1 in near_:
-        for k, ws in enumerate(side(near_[-1], True)):
-            add(ws, k - 10, [-1] * len(ws))
-    for k in body:
-        add([p.text[i] for i in p.lines[k]], k, p.lines[k])
-    if 1 in near_:
-        for k, ws in enumerate(side(near_[1], False)):
-            add(ws, 100_000 + k, [-1] * len(ws))
-    return [(k, kind) for k, kind in zip(place, page_values(words, line)) if kind and k >= 0]
-
-
-_TAGS = T.ArrayType(T.StructType([T.StructField("word_id", T.LongType()), T.StructField("kind", T.StringType())]))
-_ARROW_TAGS = pa.list_(pa.struct([("word_id", pa.int64()), ("kind", pa.string())]))
-
-
-@F.arrow_udf(_TAGS)
-def _tags(ids: pa.Array, texts: pa.Array, y0: pa.Array, y1: pa.Array, own: pa.Array, page: pa.Array, around: pa.Array) -> pa.Array:
-    rows = zip(*(x.to_pylist() for x in (ids, texts, y0, y1, own, page, around)))
-    return pa.array([[{"word_id": i[k], "kind": kind} for k, kind in page_tags(t, a, b, o, p, n or [])] for i, t, a, b, o, p, n in rows], _ARROW_TAGS)
-
-
-def personal_words(words: DataFrame) -> DataFrame:
-    """src, word_id, kind of every word of ``words`` (src, file_id, page, word_id, text, y0, y1) that is all or part of a personal value.
+    p = layout(texts, y0, y1, tall)
+    kinds, body = margins(p, own, page, {d: n["outline"] for d, n in near_.items()})
+    there = lambda lines, first: [(first + k, [(clean(t), -1) for t in l]) for k, l in enumerate(lines)]
+    here = lambda k: (k, [(p.text[i], i) for i in p.lines[k]])
+    parts = [[*there(lines_before(near_), -10), *map(here, body), *there(lines_behind(own, page, near_), len(p.lines))]]
+    parts += [[here(k)] for k in range(len(p.lines)) if k not in set(body)]
+    out: list[Value] = []
+    for lines in parts:
+        read = [(t, at, k) for k, l in lines for t, at in l if t]
+        words = [t for t, _, _ in read]
+        found = page_values(words, [k for _, _, k in read])
+        named_words(words, found, names)
+        for i, kind in enumerate(found):
+            if kind is None:
+                continue
+            if not i or found[i - 1] != kind:
+                out.append(Value(kind, [], []))
+            out[-1].words.append(words[i])
+            out[-1].places.append(read[i][1])
+    return [v for v in out if any(k >= 0 for k in v.places)]
 
-    Null and empty texts hold none; repeated rows count once; rows without word_id, file or page are left out; an empty table gives an
-    empty result. Work is per page, so a file of any size is shared out.
-    """
-    pages = pages_in_context(words)
-    return pages.select("src", F.explode(_tags("ids", "texts", "y0", "y1", "outline", "page", "around")).alias("k")).select("src", "k.*")
 
+#: Occurrences of a word as a name from which, and share of all its occurrences above which, it is a name elsewhere.
+TAUGHT, TAUGHT_SHARE = 3, 0.9
+_NAME = re.compile(r"[^\W\d_]{3,}(['’-][^\W\d_]+)*")
 
-# -- pseudonyms ------------------------------------------------------------------------------------------------------
 
+def name_key(text: str) -> str | None:
+    """The form under which a name is learnt: lower case, without signs around it; None for what is no name by its letters."""
+    t = re.sub(r"['’]s$", "", _low(text))
+    return t if _NAME.fullmatch(t) else None
 
-def _round(key: bytes, label: str, i: int, half: str) -> int:
-    return int.from_bytes(hmac.new(key, f"{label}|{i}|{half}".encode(), hashlib.sha256).digest()[:8], "big")
 
+def named_words(words: list[str], kinds: list[str | None], names: set[str] | frozenset[str]) -> None:
+    """Marks known names that stand beside another capitalised word or initial, together with it: "Selma Corfold", "A. Corfold". A single one is
+    left alone, as places and things are called by names too."""
+    if not names:
+        return
+    known = lambda k: 0 <= k < len(words) and name_key(words[k]) in names
+    ends = lambda k: _word(words[k])[-1:] in ".;:?!," and not _initial(words[k])
+    for i, kind in enumerate(kinds):
+        if kind is not None or not known(i) or not _named(words[i]):
+            continue
+        j = i + 1
+        while j < len(words) and j <= i + 2 and kinds[j] is None and not ends(j - 1) and (known(j) and _named(words[j]) or _initial(words[j])):
+            j += 1
+        start = i
+        while start > 0 and kinds[start - 1] is None and start > i - 2 and (_initial(words[start - 1]) or known(start - 1)) and not ends(start - 1):
+            start -= 1
+        before = words[start - 1] if start and kinds[start - 1] is None else ""
+        if _word(before).endswith(",") and _named(before) and _low(before).upper() in before:
+            start -= 1  # LAST, First
+        elif j - start < 2 and j < len(words) and kinds[j] is None and not ends(i) and _named(words[j]) and len(_low(words[j])) > 3 and _word(words[j])[-1:] not in ":;" and _low(words[j]) not in _TITLES:
+            j += 1
+        if j - start >= 2:
+            kinds[start:j] = ["name"] * (j - start)
 
-def permute_digits(digits: str, key: bytes, label: str, back: bool = False, rounds: int = 10) -> str:
-    """Another string of as many digits: a Feistel network over its two halves, a permutation of all such strings."""
-    if len(digits) < 2:
-        d = int(digits or 0)
-        shift = _round(key, label, 0, "") % 10
-        return str((d - shift if back else d + shift) % 10) if digits else ""
-    m = len(digits) // 2
-    a, b = digits[:m], digits[m:]
-    for i in range(rounds - 1, -1, -1) if back else range(rounds):
-        if i % 2 == 0:
-            b = str((int(b) + (-1 if back else 1) * _round(key, label, i, a)) % 10 ** len(b)).zfill(len(b))
-        else:
-            a = str((int(a) + (-1 if back else 1) * _round(key, label, i, b)) % 10 ** len(a)).zfill(len(a))
-    return a + b
 
+_ARROW_TAGS = pa.list_(pa.struct([("word_id", pa.int64()), ("kind", pa.string()), ("name", pa.string())]))
 
-_FIRST, _DAYS = date(1900, 1, 1), 73049
 
+@F.arrow_udf(from_arrow_type(_ARROW_TAGS))
+def _tags(ids: pa.Array, texts: pa.Array, y0: pa.Array, y1: pa.Array, own: pa.Array, page: pa.Array, around: pa.Array, tall: pa.Array, names: pa.Array) -> pa.Array:
+    out = []
+    for i, t, a, b, o, p, n, h, k in zip(*(x.to_pylist() for x in (ids, texts, y0, y1, own, page, around, tall, names))):
+        runs = page_runs(t, a, b, o, p, n or [], h, frozenset(k or ()))
+        out.append([{"word_id": i[at], "kind": v.kind, "name": name_key(w) if v.kind == "name" else None} for v in runs for w, at in zip(v.words, v.places) if at >= 0])
+    return pa.array(out, _ARROW_TAGS)
 
-def permute_date(text: str, key: bytes, back: bool = False) -> str | None:
-    """Another valid date in the same format (M/D/YY or YYYY-MM-DD): its day number is permuted, walking on while out of range."""
-    if m := re.fullmatch(r"(\d{4})-(\d{2})-(\d{2})", text):
-        y, mo, d = map(int, m.groups())
-        form, first, days = (lambda x: x.isoformat()), _FIRST, _DAYS
-    elif m := re.fullmatch(r"(\d{1,2})/(\d{1,2})/(\d{2})", text):
-        mo, d, y = map(int, m.groups())
-        y += 2000
-        form, first, days = (lambda x: f"{x.month}/{x.day}/{x.year % 100:02d}"), date(2000, 1, 1), 36525
-    else:
-        return None
-    try:
-        n = (date(y, mo, d) - first).days
-    except ValueError:
-        return None
-    if not 0 <= n < days:
-        return None
-    while True:
-        n = int(permute_digits(str(n).zfill(5), key, "date", back))
-        if n < days:
-            return form(first + timedelta(days=n))
-
-
-def pseudonym(kind: str, value: str, key: bytes) -> str:
-    """The placeholder of a value: numbers keep their format with their digits permuted; other values get a keyed token."""
-    if kind in ("phone", "idno"):
-        digits = "".join(c for c in value if c.isdigit() and c.isascii())
-        new = iter(permute_digits(digits, key, f"{kind}{len(digits)}"))
-        return f"[{kind.upper()} " + "".join(next(new) if c.isdigit() and c.isascii() else c for c in value) + "]"
-    mark = hmac.new(key, f"{kind}|{value.lower()}".encode(), hashlib.sha256).hexdigest()[:8]
-    return f"[{kind.upper()} {mark}]"
-
-
-def redact_words(texts: list[str], kinds: list[str | None], key: bytes, dates: bool = True) -> list[str]:
-    """The words with each run of one kind replaced by one placeholder; what surrounds a value (brackets, closing signs) stays."""
-    out, i = [], 0
-    while i < len(texts):
-        k = kinds[i]
-        if k is None:
-            core = texts[i].strip(".,;:?!()")
-            swap = permute_date(core, key) if dates and "/" in core or "-" in core else None
-            out.append(texts[i].replace(core, swap) if swap else texts[i])
-            i += 1
-            continue
-        j = i
-        while j < len(texts) and kinds[j] == k:
-            j += 1
-        value = " ".join(t for t in texts[i:j] if t)
-        core = value.strip("\"'“”‘’«»„[]{}<>.,;:?!") if k != "phone" else value.strip("\"'“”‘’«»„[]{}<>.,;:?! ")
-        head, _, tail = value.partition(core)
-        out.append(head + pseudonym(k, core, key) + tail)
-        i = j
-    return out
+
+_READ = ("ids", "texts", "y0", "y1", "outline", "page", "around", "tall")
+_BY = ["src", "file_id", "page"]
+
+
+def taught_names(pages: DataFrame, tags: DataFrame) -> DataFrame:
+    """src, file_id, page, names: for each page the words on it that are known for names though nothing on the page says so.
+
+    A word is known for a name if captions make it one at least TAUGHT times and in a share TAUGHT_SHARE of all its occurrences. Counts are
+    combined before each shuffle; only pages that hold such a word beyond its marked occurrences come back.
+    """
+    taught = tags.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TAUGHT)
+    key = F.regexp_replace(F.lower(F.regexp_replace("t", r"['’]s(?=[^\p{L}]*$)", "")), r"^[^\p{L}]+|[^\p{L}]+$", "")
+    capital = F.filter("texts", lambda t: t.rlike(r"^[^\p{L}]*\p{Lu}"))
+    seen = pages.select(*_BY, F.explode(capital).alias("t")).select(*_BY, key.alias("name")).groupBy(*_BY, "name").agg(F.count(F.lit(1)).alias("n"))
+    marked = tags.where("name is not null").groupBy(*_BY, "name").agg(F.count(F.lit(1)).alias("m"))
+    seen = seen.join(taught.select("name"), "name").join(marked, [*_BY, "name"], "left")
+    total = seen.groupBy("name").agg(F.sum("n").alias("all"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("as_name")).where(F.col("as_name") >= TAUGHT_SHARE * F.col("all")).select("name")
+    return seen.where("n > coalesce(m, 0)").join(total, "name").groupBy(*_BY).agg(F.collect_set("name").alias("names"))
+
+
+def _read(words: DataFrame, sizes: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages in context, their tags by captions and formats, and the names taught."""
+    pages = pages_in_context(words, sizes)
+    tags = pages.select(*_BY, F.explode(_tags(*_READ, F.lit(None).cast("array<string>"))).alias("k")).select(*_BY, "k.*")
+    tags = cut(tags)
+    return pages, tags, cut(taught_names(pages, tags))
 
 
-def redacted_pages(words: DataFrame, key: str, dates: bool = True) -> DataFrame:
+def personal_words(words: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """src, word_id, kind of every word of ``words`` (src, file_id, page, word_id, text, y0, y1) that is all or part of a personal value; ``sizes``
+    (file_id, page, height) tells where the foot of a page is.
+
+    Null and empty texts hold none; repeated rows count once; rows without word_id, file or page are left out; an empty table gives an
+    empty result. Work is per page, so a file of any size is shared out; the few pages on which taught names stand are read once more.
+    """
+    pages, tags, taught = _read(words, sizes)
+    again = pages.join(taught, _BY).select("src", F.explode(_tags(*_READ, "names")).alias("k")).select("src", "k.word_id", "k.kind")
+    return tags.join(taught, _BY, "left_anti").select("src", "word_id", "kind").unionByName(again)
+
+
+# -- redaction -------------------------------------------------------------------------------------------------------
+
+_RIM = "\"'“”‘’«»„[]{}<>.,;:?! "
+
+
+def redact_page(texts: list[str], order: list[int], runs: list[Value], key: bytes, dates: bool = True) -> str:
+    """The texts in ``order`` with each value replaced by one placeholder, where it begins; what surrounds a value (quotes, closing signs)
+    stays. The placeholder is that of the whole value, also where it runs over lines or a page break; of one begun on the page before nothing
+    is left here."""
+    instead: dict[int, str] = {}
+    for v in runs:
+        value = " ".join(v.words)
+        core = value.strip(_RIM if v.kind != "phone" else _RIM.replace("[", "").replace("]", ""))
+        head, _, tail = value.partition(core)
+        instead |= {at: "" for at in v.places if at >= 0}
+        if v.places[0] >= 0:
+            instead[v.places[0]] = head + placeholder(v.kind, core, key) + (tail if v.places[-1] >= 0 else "")
+    out = []
+    for i in order:
+        t = texts[i].strip()
+        if i in instead:
+            t = instead[i]
+        elif dates and (core := t.strip(".,;:?!()[]")) and (swap := permute_date(core, key)):
+            t = t.replace(core, swap)
+        out.append(t)
+    return " ".join(t for t in out if t)
+
+
+def redacted_pages(words: DataFrame, key: str, sizes: DataFrame | None = None, dates: bool = True) -> DataFrame:
     """src, file_id, page, text, n_values: each page's text in reading order, line by line, with placeholders for personal values and
-    keyed pseudonyms for numbers and (with ``dates``) dates. Equal values have equal placeholders throughout under one ``key``."""
+    keyed pseudonyms for numbers and (with ``dates``) dates. Equal values have equal placeholders throughout under one ``key``, which stays
+    with the caller; n_values counts the values that begin on the page."""
     secret = key.encode()
+    kind = pa.struct([("text", pa.string()), ("n_values", pa.int64())])
 
-    def redact(ids: pa.Array, texts: pa.Array, y0: pa.Array, y1: pa.Array, own: pa.Array, page: pa.Array, around: pa.Array) -> pa.Array:
+    def redact(texts: pa.Array, y0: pa.Array, y1: pa.Array, own: pa.Array, page: pa.Array, around: pa.Array, tall: pa.Array, names: pa.Array) -> pa.Array:
         out = []
-        for _, t, a, b, o, p, n in zip(*(x.to_pylist() for x in (ids, texts, y0, y1, own, page, around))):
-            tags = dict(page_tags(t, a, b, o, p, n or []))
-            lines = layout(t, a, b).lines
-            order = [i for line in lines for i in line]
-            kinds = [tags.get(i) for i in order]
-            runs = sum(1 for i, k in enumerate(kinds) if k and (i == 0 or kinds[i - 1] != k))
-            out.append({"text": " ".join(redact_words([t[i].strip() for i in order], kinds, secret, dates)), "n_values": runs})
-        return pa.array(out, pa.struct([("text", pa.string()), ("n_values", pa.int64())]))
+        for t, a, b, o, p, n, h, k in zip(*(x.to_pylist() for x in (texts, y0, y1, own, page, around, tall, names))):
+            runs = page_runs(t, a, b, o, p, n or [], h, frozenset(k or ()))
+            order = [i for line in layout(t, a, b, h).lines for i in line]
+            out.append({"text": redact_page(t, order, runs, secret, dates), "n_values": sum(v.places[0] >= 0 for v in runs)})
+        return pa.array(out, kind)
 
-    made = F.arrow_udf(redact, T.StructType([T.StructField("text", T.StringType()), T.StructField("n_values", T.LongType())]))
-    pages = pages_in_context(words)
-    return pages.select("src", "file_id", "page", made("ids", "texts", "y0", "y1", "outline", "page", "around").alias("r")).select("src", "file_id", "page", "r.*")
+    pages, _, taught = _read(words, sizes)
+    made = F.arrow_udf(redact, from_arrow_type(kind))
+    return pages.join(taught, _BY, "left").select(*_BY, made(*_READ[1:], "names").alias("r")).select(*_BY, "r.*")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_words(all_words(spark, sf_dir))
+    return personal_words(all_words(spark, sf_dir), page_sizes(spark, sf_dir))
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redacted_pages(all_words(spark, sf_dir), key="demonstration key")
+    """With the key of the session's setting leafspan.pseudonym.key, and one that is drawn for this run where none is set."""
+    return redacted_pages(all_words(spark, sf_dir), spark.conf.get("leafspan.pseudonym.key", None) or secrets.token_hex(16), page_sizes(spark, sf_dir))
 
 
 QUERIES = {"p5_found": found, "p5_redacted": redacted}

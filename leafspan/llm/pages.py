@@ -14,16 +14,18 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from leafspan.session import cut
 from leafspan.sources import table
 
-#: Words whose centers are this near, in points, stand on one line; a footer stands below FOOT with a gap of GAP above it.
-LINE, FOOT, GAP = 6.0, 690.0, 25.0
-#: Words of the next and the previous page that a page gets to see.
-REACH = 16
-SOURCES = ("harmonized_words", "words_slim")
+#: Words whose centers are this near, in points, stand on one line; a footer stands in the last part of the page, below FOOT of its
+#: height, with a gap of GAP above it. TALL is the height of pages of which none is known.
+LINE, FOOT, GAP, TALL = 6.0, 0.87, 25.0, 792.0
+#: Lines of the page before and of the page behind that a page gets to see, whole.
+REACH = 3
+#: The word tables and the confidences that tell misread words from others; that of a vote hardly does.
+SOURCES = {"harmonized_words": None, "words_slim": "ocr_confidence"}
 _EDGE = "\"'“”‘’«»„()[]{}<>"
 _ROMAN = re.compile(r"^[ivxl1|!]{1,5}$", re.I)
 _DATE = re.compile(r"^[0-9OolISZ|]{1,2}/[0-9A-Za-z|]{1,2}/[0-9A-Za-z|]{2,4}$")
@@ -76,7 +78,7 @@ class Page(NamedTuple):
     foot: bool
 
 
-def layout(texts: list[str], y0: list[float], y1: list[float]) -> Page:
+def layout(texts: list[str], y0: list[float], y1: list[float], tall: float | None = None) -> Page:
     text, line, lines, at = [clean(t) if t else "" for t in texts], [], [], None
     for i, t in enumerate(text):
         y = ((y0[i] or 0.0) + (y1[i] or 0.0)) / 2
@@ -89,7 +91,7 @@ def layout(texts: list[str], y0: list[float], y1: list[float]) -> Page:
         lines[-1].append(i)
         line.append(len(lines) - 1)
     mid = [sum((y0[i] or 0.0) + (y1[i] or 0.0) for i in l) / 2 / len(l) for l in lines]
-    foot = bool(lines) and mid[-1] > FOOT and (len(lines) == 1 or mid[-1] - mid[-2] > GAP)
+    foot = bool(lines) and mid[-1] > FOOT * (tall or TALL) and (len(lines) == 1 or mid[-1] - mid[-2] > GAP)
     return Page(text, line, lines, foot)
 
 
@@ -135,8 +137,7 @@ def same_title(a: list[str], b: list[str]) -> bool:
 
 
 def outline(p: Page) -> dict:
-    """Title candidates of a page, and its first and last body words (without the footer and without a top line that is only a
-    page number)."""
+    """Title candidates of a page, from its first two lines."""
     words = [[p.text[i] for i in l] for l in p.lines]
     body = list(range(len(words) - p.foot))
     top = words[body[0]] if body else []
@@ -161,37 +162,68 @@ def is_header(own: dict, page: int, around: dict[int, dict]) -> bool:
     return len(top) <= 3 and own["width"] <= 4 and any(alike(w, v) and len(w) > 3 for s in seen if len(s) <= 4 for v in s for w in top)
 
 
-OUTLINE = T.StructType([T.StructField("top", T.ArrayType(T.StringType())), T.StructField("second", T.ArrayType(T.StringType())), T.StructField("width", T.IntegerType()), T.StructField("dated", T.BooleanType()), T.StructField("numbered", T.BooleanType())])
 _ARROW_OUTLINE = pa.struct([("top", pa.list_(pa.string())), ("second", pa.list_(pa.string())), ("width", pa.int32()), ("dated", pa.bool_()), ("numbered", pa.bool_())])
+_ARROW_EDGES = pa.struct([("outline", _ARROW_OUTLINE), ("head", pa.list_(pa.list_(pa.string()))), ("tail", pa.list_(pa.list_(pa.string())))])
 
 
-@F.arrow_udf(OUTLINE)
-def _outline(texts: pa.Array, y0: pa.Array, y1: pa.Array) -> pa.Array:
-    return pa.array([outline(layout(t, a, b)) for t, a, b in zip(texts.to_pylist(), y0.to_pylist(), y1.to_pylist())], _ARROW_OUTLINE)
+@F.arrow_udf(from_arrow_type(_ARROW_EDGES))
+def _edges(texts: pa.Array, y0: pa.Array, y1: pa.Array, tall: pa.Array) -> pa.Array:
+    """The outline of each page, its first lines and its last ones above the footer, as they are written."""
+    out = []
+    for t, a, b, h in zip(texts.to_pylist(), y0.to_pylist(), y1.to_pylist(), tall.to_pylist()):
+        p = layout(t, a, b, h)
+        lines = [[t[i] for i in l] for l in p.lines]
+        body = lines[:-1] if p.foot else lines
+        out.append({"outline": outline(p), "head": lines[:REACH], "tail": body[-REACH:]})
+    return pa.array(out, _ARROW_EDGES)
+
+
+def lines_before(around: dict[int, dict]) -> list[list[str]]:
+    """The last lines of the page before, without its footer, as written."""
+    return (around[-1]["tail"] or []) if -1 in around else []
+
+
+def lines_behind(own: dict, page: int, around: dict[int, dict]) -> list[list[str]]:
+    """The first lines of the next page, without its running header, as written."""
+    if 1 not in around:
+        return []
+    there = {-1: own} | ({1: around[2]["outline"]} if 2 in around else {}) | ({-2: around[-1]["outline"]} if -1 in around else {})
+    lines = around[1]["head"] or []
+    return lines[1:] if lines and is_header(around[1]["outline"], page + 1, there) else lines
 
 
 def all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, file_id, page, word_id, text, y0, y1 of both word tables, each word once."""
-    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("src"), "file_id", "page", "word_id", "text", "y0", "y1") for t in SOURCES]
+    """src, file_id, page, word_id, text, y0, y1, conf of both word tables."""
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("src"), "file_id", "page", "word_id", "text", "y0", "y1", (F.col(c) if c else F.lit(None).cast("double")).alias("conf")) for t, c in SOURCES.items()]
     return parts[0].unionByName(parts[1])
 
 
-def pages_in_context(words: DataFrame) -> DataFrame:
-    """One row per src, file_id and page: ids, texts, y0, y1 in reading order; outline; around: the outlines and the first and
-    last words of up to two pages before and behind, each with its distance.
+def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, page, height of the pages whose size is known."""
+    return table(spark, sf_dir, "pages_meta").select("file_id", "page", "height")
+
+
+def pages_in_context(words: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """One row per src, file_id and page: ids, texts, y0, y1, conf in reading order (conf is null where ``words`` has none); tall (its height, null where unknown); outline; around: of the
+    two pages before and the two behind each outline with its distance, and the edge lines of the nearest.
 
     Repeated rows (same page and word_id) count once, null texts count as empty, rows with null word_id, file or page are left out.
     """
-    word = F.struct("word_id", F.coalesce("text", F.lit("")).alias("text"), "y0", "y1")
-    pages = words.where("word_id is not null and file_id is not null and page is not null").groupBy("src", "file_id", "page").agg(F.array_sort(F.collect_set(word)).alias("w"))
+    conf = F.col("conf") if "conf" in words.columns else F.lit(None).cast("double")
+    word = F.struct("word_id", F.coalesce("text", F.lit("")).alias("text"), "y0", "y1", conf.alias("conf"))
+    by = ["src", "file_id", "page"]
+    pages = words.where("word_id is not null and file_id is not null and page is not null").groupBy(*by).agg(F.array_sort(F.collect_set(word)).alias("w"))
+    tall = F.lit(None).cast("double")
+    if sizes is not None:
+        # once per source, so that pages stay where they are and only the small table moves
+        each = sizes.groupBy("file_id", "page").agg(F.max("height").alias("tall")).withColumn("src", F.explode(F.array(*[F.lit(t) for t in SOURCES])))
+        pages, tall = pages.join(each, by, "left"), F.col("tall")
     field = lambda f: F.transform("w", lambda x: x[f])
-    pages = pages.select("src", "file_id", "page", field("word_id").alias("ids"), field("text").alias("texts"), field("y0").alias("y0"), field("y1").alias("y1"))
-    pages = cut(pages.withColumn("outline", _outline("texts", "y0", "y1")))
-    n = F.size("texts")
-    seen = pages.select("src", "file_id", "page", "outline", *[F.slice(c, 1, 3 * REACH).alias(f"first_{c}") for c in ("texts", "y0", "y1")], *[F.slice(c, F.greatest(n - 3 * REACH + 1, F.lit(1)), 3 * REACH).alias(f"last_{c}") for c in ("texts", "y0", "y1")])
+    pages = pages.select(*by, tall.alias("tall"), field("word_id").alias("ids"), field("text").alias("texts"), *[field(c).alias(c) for c in ("y0", "y1", "conf")])
+    pages = cut(pages.withColumn("e", _edges("texts", "y0", "y1", "tall")).select("*", "e.outline", "e.head", "e.tail").drop("e"))
     steps = F.explode(F.array(*[F.lit(d) for d in (-2, -1, 1, 2)])).alias("d")
-    # the page d behind this one sees it at distance -d
-    sample = [F.when(F.abs("d") == 1, F.col(c)).alias(c) for c in seen.columns if c.startswith(("first_", "last_"))]
-    shown = seen.select("*", steps).select("src", "file_id", (F.col("page") + F.col("d")).alias("page"), F.struct((-F.col("d")).alias("d"), "outline", *sample).alias("n"))
-    around = shown.groupBy("src", "file_id", "page").agg(F.collect_list("n").alias("around"))
-    return pages.join(around, ["src", "file_id", "page"], "left")
+    # the page d behind this one sees it at distance -d, and the lines on its own side of it
+    lines = [F.when(F.col("d") == d, F.col(c)).alias(c) for c, d in (("tail", 1), ("head", -1))]
+    shown = pages.select("src", "file_id", "page", "outline", "head", "tail", steps).select("src", "file_id", (F.col("page") + F.col("d")).alias("page"), F.struct((-F.col("d")).alias("d"), "outline", *lines).alias("n"))
+    around = shown.groupBy(*by).agg(F.collect_list("n").alias("around"))
+    return pages.drop("head", "tail").join(around, by, "left")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafspan.llm import bktree
 from leafspan.llm import p1_terms as p1
@@ -173,23 +174,6 @@ def test_personal_values(text, want):
     assert dict(values(text)) == want
 
 
-def test_feistel_is_a_permutation():
-    key = b"k"
-    assert sorted(p5.permute_digits(f"{i:03d}", key, "x") for i in range(1000)) == [f"{i:03d}" for i in range(1000)]
-    for v in ("5550167", "12", "7", "00000000000"):
-        assert p5.permute_digits(p5.permute_digits(v, key, "x"), key, "x", back=True) == v
-    for v in ("7/24/25", "2024-12-31"):
-        assert p5.permute_date(p5.permute_date(v, key), key, back=True) == v
-    assert p5.permute_date("13/45/20", key) is None
-
-
-def test_redaction_links_equal_values():
-    a = p5.redact_words(["Tel.", "555-0167.", "x"], [None, "phone", None], b"k")
-    b = p5.redact_words(["(555-0167)"], ["phone"], b"k")
-    assert a[1].startswith("[PHONE ") and a[1].endswith("].") and "555-0167" not in a[1]
-    assert a[1][len("[PHONE ") : -2] in b[0]
-
-
 # -- 6
 
 
@@ -213,26 +197,26 @@ def test_headers_numbers_and_hyphens():
     one = page(["Late Garden Summary", "Late Garden Summary", "The nurse mea-", "sured the post-", "and the rest", "Page 1 of 2"])
     two = page(["Late Garden Summary 5/2/23", "of the test.", "Page 2 of 2"])
     o1, o2 = outline(layout(*one)), outline(layout(*two))
-    near = {"d": 1, "outline": o2, "first_texts": two[0], "first_y0": two[1], "first_y1": two[2], "last_texts": two[0], "last_y0": two[1], "last_y1": two[2]}
-    found, joins, _, _ = p6.page_kinds(*one, o1, 0, [near])
+    near = {"d": 1, "outline": o2, "head": [l.split() for l in ("Late Garden Summary 5/2/23", "of the test.")], "tail": None}
+    found, joins, _ = p6.page_kinds(*one, o1, 0, [near])
     kinds = {}
     for i, k in found:
         kinds.setdefault(k, []).append(one[0][i])
     assert kinds["header"] == ["Late", "Garden", "Summary"] and kinds["pageno"] == "Page 1 of 2".split() and kinds["hyphen"] == ["mea-", "sured"]
-    assert [w for _, _, w in joins] == ["measured"]
-    back = {"d": -1, "outline": o1, "first_texts": one[0], "first_y0": one[1], "first_y1": one[2], "last_texts": one[0], "last_y0": one[1], "last_y1": one[2]}
-    found, _, _, _ = p6.page_kinds(*two, o2, 1, [back])
+    assert [(j.joined, j.hyphenated) for j in joins] == [("measured", "mea-sured")]
+    back = {"d": -1, "outline": o1, "head": None, "tail": [l.split() for l in ("sured the post-", "and the rest")]}
+    found, _, _ = p6.page_kinds(*two, o2, 1, [back])
     assert [two[0][i] for i, k in found if k == "header"] == "Late Garden Summary 5/2/23".split()
 
 
 def test_misread_words(spark):
-    counts = spark.createDataFrame([("the", 5000, 400), ("thc", 20, 2), ("garden", 300, 20), ("gardens", 5, 0), ("gardcn", 2, 0), ("rupert", 12, 12), ("report", 200, 20), ("tearn", 1, 0), ("team", 90, 5), ("zz", 1, 0)], "word string, n bigint, capital bigint")
+    counts = spark.createDataFrame([("the", 5000, 400), ("thc", 20, 2), ("garden", 300, 20), ("gardens", 5, 0), ("gardcn", 2, 0), ("rupert", 12, 12), ("report", 200, 20), ("tearn", 1, 0), ("team", 90, 5), ("zz", 1, 0)], "word string, n bigint, capital bigint").withColumn("conf", F.lit(None).cast("double"))
     assert {r.word: r.meant for r in p6.misread_words(counts).collect()} == {"thc": "the", "gardcn": "garden", "tearn": "team"}
     assert p6.misread_words(counts.limit(0)).count() == 0
 
 
 def test_misread_words_with_separate_edits(spark):
-    counts = spark.createDataFrame([("approved", 475, 20), ("opprovcd", 1, 0), ("period", 186, 10), ("peri0cl", 1, 0), ("summary", 686, 40), ("surnmarv", 1, 0), ("order", 125, 5), ("vorzer", 2, 2), ("over", 100, 5), ("every", 2754, 90), ("0ver", 1, 0)], "word string, n bigint, capital bigint")
+    counts = spark.createDataFrame([("approved", 475, 20), ("opprovcd", 1, 0), ("period", 186, 10), ("peri0cl", 1, 0), ("summary", 686, 40), ("surnmarv", 1, 0), ("order", 125, 5), ("vorzer", 2, 2), ("over", 100, 5), ("every", 2754, 90), ("0ver", 1, 0)], "word string, n bigint, capital bigint").withColumn("conf", F.lit(None).cast("double"))
     assert {r.word: r.meant for r in p6.misread_words(counts).collect()} == {"opprovcd": "approved", "peri0cl": "period", "surnmarv": "summary", "0ver": "over"}
 
 
@@ -251,8 +235,32 @@ def test_corrections_keep_edges_and_case():
     assert {t: p6.corrected(t, "garden") for t in cases} == cases and p6.corrected("x.", None) == "x."
     one = page(["all of the mea-", "surcd gardcn. And"])
     own = outline(layout(*one))
-    fixes = [{"word_id": 4, "correction": "measured", "joined": "measurcd"}, {"word_id": 5, "correction": "garden", "joined": None}]
-    assert [x["paragraph"] for x in p6.page_paragraphs(*one, own, 0, [], fixes, [], list(range(7)))] == ["all of the measured garden. And"]
+    fixes = [{"word_id": 4, "meant": "measured", "whole": "measurcd"}, {"word_id": 5, "meant": "garden", "whole": None}]
+    assert [x["paragraph"] for x in p6.page_paragraphs(*one, own, 0, [], None, fixes, [], list(range(7)))] == ["all of the measured garden. And"]
+
+
+def test_hyphens_are_kept_by_evidence(spark):
+    """Forms written elsewhere decide; where there are none, two words of their own keep their hyphen. The repaired text shows it."""
+    body = ["a well-known and self-employed man", "he measured the twenty one words", "unknown", "they are well-", "known and mea-", "sured by self-", "employed twenty-", "one men out-", "standing"]
+    rows = [("a", 1, 0, i, w, y, y + 10, None) for i, (w, y) in enumerate((w, 40.0 + 14 * k) for k, l in enumerate(body) for w in l.split())]
+    df = spark.createDataFrame(rows, "src string, file_id bigint, page bigint, word_id bigint, text string, y0 double, y1 double, conf double")
+    got = {r.correction for r in p6.find_noise(df).where("kind = 'hyphen'").collect()}
+    assert got == {"well-known", "measured", "self-employed", "twenty-one", "outstanding"}
+    assert "they are well-known and measured by self-employed twenty-one men outstanding" in " ".join(r.paragraph for r in p6.repaired_text(df).orderBy("page", "position").collect())
+
+
+def test_broken_shapes_meet_frequent_ones(spark):
+    texts = ["garden"] * 40 + ["12.50"] * 40 + ["gar*en", "3l.50", "g.a;r/d.e(n"]
+    df = spark.createDataFrame([("a", 1, 0, i, t, 40.0 + 14 * i, 50.0 + 14 * i, None) for i, t in enumerate(texts)], "src string, file_id bigint, page bigint, word_id bigint, text string, y0 double, y1 double, conf double")
+    assert {texts[r.word_id] for r in p6.find_noise(df).where("kind = 'misread'").collect()} == {"gar*en", "3l.50"}
+
+
+def test_low_confidence_is_evidence(spark):
+    counts = [("garden", 100, 0, 90.0), ("gardan", 16, 0, 60.0), ("gardon", 16, 0, 88.0), ("gardun", 16, 0, None)]
+    df = spark.createDataFrame(counts, "word string, n bigint, capital bigint, conf double")
+    assert {r.word for r in p6.misread_words(df).collect()} == {"gardan"}
+    # the same shares of a corpus a thousand times as large
+    assert {r.word for r in p6.misread_words(df.withColumn("n", F.col("n") * 1000)).collect()} == {"gardan"}
 
 
 def test_paragraphs_go_on_over_pages(spark):
