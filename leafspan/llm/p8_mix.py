@@ -18,11 +18,13 @@ from leafspan.sources import table
 BUCKETS = 4096
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", total_tokens: int | None = None, seed: int = 17, buckets: int = BUCKETS, path: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", total_tokens: int | None = None, meet: str = "total", seed: int = 17, buckets: int = BUCKETS, path: str | None = None) -> DataFrame:
     """One row per document used: key, source, n_tokens, uses (how often it is to be repeated).
 
     ``targets`` has source, target_share and max_repeats, one row each. A source's budget is its share of ``total_tokens``
-    (all tokens of the sources that have a target, unless given), at most ``max_repeats`` passes over the source. The document
+    (all tokens of the sources that have a target, unless given), at most ``max_repeats`` passes over the source. Where sources fall short
+    of that, the others keep their budgets and have more than their share of what there is. With ``meet`` "shares" the total is instead the largest
+    at which no source that has tokens falls short: their shares, in proportion, are then met exactly. The document
     on which the cut falls is used if that comes nearer to the budget, so a source ends within half a document of it.
     Documents of sources without target, of a null source, and without tokens (null and empty texts) are not used; a
     source with a target but no documents has no row here and share 0 in the report. Equal keys (rows repeated) are told
@@ -41,6 +43,13 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source
         total = F.lit(keyed.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"])
     else:
         total = F.lit(total_tokens)
+    if meet == "shares":
+        # one row per source with a target
+        t_met = sums.groupBy("_s").agg(F.sum("_sum").alias("_have")).join(t, "_s").where("_share > 0 and _have > 0")
+        row = t_met.agg(F.min(F.col("_have") * F.col("_max") / F.col("_share")).alias("n"), F.sum("_share").alias("s")).first()
+        total = F.least(total.cast("double") / F.lit(row["s"] or 1.0), F.lit(row["n"] or 0.0))
+    elif meet != "total":
+        raise ValueError(f"no such aim: {meet}")
     budget = F.least(F.col("_share") * total, (F.col("_all") * F.col("_max")).cast("double"))
     places = places.join(t, "_s").withColumn("_budget", budget).withColumn("_passes", F.floor(F.col("_budget") / F.col("_all"))).withColumn("_rest", F.col("_budget") - F.col("_passes") * F.col("_all"))
 
@@ -52,15 +61,18 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source
 
 
 def mix_report(mix: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:
-    """source, target_share, documents, tokens, most_uses, actual_share (of all tokens of the mix) of every target."""
-    used = mix.groupBy(source).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"))
+    """source, target_share, documents, tokens, most_uses, actual_share (of all tokens of the mix) and short of every target: "no documents", "repeats
+    exhausted" where every document is used as often as it may be and the share is not reached, null where it is."""
+    used = mix.groupBy(source).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"), F.min("uses").alias("_least"))
     all_sources = Window.partitionBy(F.lit(0))
     return (
-        targets.select(source, "target_share")
+        targets.select(source, "target_share", F.coalesce("max_repeats", F.lit(1)).alias("_max"))
         .join(used, source, "left")
         .na.fill(0, ["documents", "tokens", "most_uses"])
         .withColumn("_all", F.sum("tokens").over(all_sources))
-        .select(source, "target_share", "documents", "tokens", "most_uses", F.coalesce(F.round(F.expr("try_divide(tokens, _all)"), 6), F.lit(0.0)).alias("actual_share"))
+        .select(source, "target_share", "documents", "tokens", "most_uses", F.coalesce(F.round(F.expr("try_divide(tokens, _all)"), 6), F.lit(0.0)).alias("actual_share"), "_max", "_least")
+        .withColumn("short", F.when((F.col("documents") == 0) & (F.col("target_share") > 0), "no documents").when((F.col("_least") >= F.col("_max")) & (F.col("actual_share") < F.col("target_share")), "repeats exhausted"))
+        .drop("_max", "_least")
     )
 
 
@@ -73,5 +85,11 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p8_mix": _mix, "p8_shares": shares}
+def met_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the largest mix in which no source with documents falls short."""
+    docs, targets = table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mix_targets")
+    return mix_report(mix_sources(docs, targets, meet="shares"), targets)
+
+
+QUERIES = {"p8_mix": _mix, "p8_shares": shares, "p8_met_shares": met_shares}
 ORACLE: dict[str, str] = {}

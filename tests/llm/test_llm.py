@@ -335,3 +335,31 @@ def test_short_garbles_of_documents_without_language(spark):
     df = spark.createDataFrame(rows + [(50, "f³r und Grüße", "de")] + odd, "doc_id bigint, text string, lang string")
     out = {r.doc_id: r.repaired for r in p9.repair_documents(df).collect()}
     assert out == {50: "für und Grüße", 100: "Müller für Grüße", 101: "für"}
+
+
+# -- 8, 9: exact shares, originals that garble again
+
+
+def test_mix_that_meets_its_shares(spark):
+    """The total is lowered until the smallest source suffices; an empty source is named, and the others keep their proportions."""
+    docs = spark.createDataFrame([(i, "big" if i % 10 else "small", "word " * 20) for i in range(2000)], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("big", 0.4, 1), ("small", 0.4, 2), ("gone", 0.2, 1)], "source string, target_share double, max_repeats bigint")
+    report = {r.source: r for r in p8.mix_report(p8.mix_sources(docs, targets, buckets=16, meet="shares"), targets).collect()}
+    assert report["big"].actual_share == pytest.approx(0.5, abs=0.005) == report["small"].actual_share and report["small"].most_uses == 2
+    assert report["gone"].short == "no documents" and report["small"].short is None
+    full = {r.source: r for r in p8.mix_report(p8.mix_sources(docs, targets, buckets=16), targets).collect()}
+    assert full["small"].short == "repeats exhausted" and full["big"].short is None and full["big"].actual_share > 0.4
+    with pytest.raises(ValueError):
+        p8.mix_sources(docs, targets, meet="other")
+
+
+def test_originals_garble_to_their_forms():
+    assert p9.garbles_to("für", "fÃ¼r") and p9.garbles_to("naïve-été", "naÃ¯ve-Ã©tÃ©") and not p9.garbles_to("für", "fÃ©r")
+    assert "�" in "".join(p9.run_forms("é"))
+
+
+def test_lost_signs_are_found_by_their_forms(spark):
+    rows = [(i, "Il a vu l'été et la fenêtre.", "fr") for i in range(30)] + [(90, "Il a vu l'�t� et la fen�tre.", "fr"), (91, "plain text", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = p9.garbled_documents(df).collect()
+    assert {r.doc for r in got if r.proof} == {90} and all(r.original is None for r in got)
