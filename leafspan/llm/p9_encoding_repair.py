@@ -2,14 +2,15 @@
 
 Every distinct clean word of the corpus, and every distinct run of letters outside ASCII, is put through all encoding chains;
 the garbled forms make a table that is hash-joined with the corpus vocabulary and through it with the documents' words.
-A form counts as garbled where the word it comes from is commoner than the form itself: in the same language for chains
-between single-byte encodings, whose output can be proper text of another language (forms of four characters on in the whole
+A form counts as garbled where the word it comes from is commoner than the form itself (more than twice, so that nothing depends on absolute
+counts): in the same language for chains between single-byte encodings, whose output can be proper text of another language (forms of four characters on in the whole
 corpus, too), and in the whole corpus for chains that read UTF-8 bytes, whose output never is. A document without a language has the one that
 most of its words are from.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,7 +33,8 @@ BYTE_SWAPS = (
 )
 #: Encodings whose bytes are read as UTF-8, with U+FFFD for what makes no character.
 LOSSY_FROM = ("cp1252", "cp1250", "iso8859-2", "cp1251", "cp1254", "koi8-r")
-UNIT = r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*"
+#: A word with signs outside ASCII: tried once where it begins, without turning back.
+UNIT = r"(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7f][^\x00-\x40\x5b-\x60\x7b-\x7f]*"
 RUN = r"[^\x00-\x7f]+"
 LOST = "�"
 FORMS = T.StructType([T.StructField(n, k) for n, k in (("lang", T.StringType()), ("form", T.StringType()), ("word", T.StringType()), ("n_word", T.LongType()))])
@@ -46,6 +48,22 @@ def _read(data: bytes, encoding: str) -> str:
         return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in data)
 
 
+def lossy_forms(word: str) -> set[str]:
+    """What ``word`` turns into when its bytes in a single-byte encoding are read as UTF-8."""
+    out = set()
+    for write in LOSSY_FROM:
+        try:
+            out.add(word.encode(write).decode("utf-8", "replace"))
+        except UnicodeEncodeError:
+            pass
+    return out - {word}
+
+
+def run_forms(run: str) -> set[str]:
+    """The garbled forms that a run outside ASCII has whatever word it stands in."""
+    return utf8_forms(run) | lossy_forms(run)
+
+
 def utf8_forms(word: str) -> set[str]:
     """What ``word`` turns into when its UTF-8 bytes are read in a wrong encoding, once or twice."""
     data, out = word.encode("utf-8", "ignore"), set()
@@ -66,12 +84,22 @@ def byte_forms(word: str) -> set[str]:
             out.add(_read(word.encode(write), read))
         except UnicodeEncodeError:
             pass
-    for write in LOSSY_FROM:
-        try:
-            out.add(word.encode(write).decode("utf-8", "replace"))
-        except UnicodeEncodeError:
-            pass
-    return out - {word}
+    return (out | lossy_forms(word)) - {word}
+
+
+def garbles_to(word: str, form: str) -> bool:
+    """Whether ``word`` turns into ``form`` by the chains, put through them once or twice; parts of a word that has runs of its own can go
+    through different chains."""
+    once = utf8_forms(word) | byte_forms(word)
+    if form in once or any(form in utf8_forms(x) or form in byte_forms(x) for x in once):
+        return True
+    old, new = re.split(f"({RUN})", word), re.split(f"({RUN})", form)
+    return len(old) == len(new) > 3 and all(a == b or a and b and garbles_to(a, b) for a, b in zip(old, new))
+
+
+@F.arrow_udf(T.BooleanType())
+def _verified(words: pa.Array, forms: pa.Array) -> pa.Array:
+    return pa.array([None if w is None else garbles_to(w, f) for w, f in zip(words.to_pylist(), forms.to_pylist())], pa.bool_())
 
 
 def _all_forms(make) -> object:
@@ -86,7 +114,7 @@ def _all_forms(make) -> object:
 def _dominant(forms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """lang, form, word: forms that occur, with the commonest word that is commoner than the form."""
     seen = vocabulary.select("lang", F.col("word").alias("form"), F.col("n").alias("n_form"))
-    return forms.join(seen, ["lang", "form"]).where((F.col("n_word") > F.col("n_form")) & (F.col("n_word") >= 3)).groupBy("lang", "form").agg(F.max(F.struct("n_word", "word"))["word"].alias("word"))
+    return forms.join(seen, ["lang", "form"]).where(F.col("n_word") > 2 * F.col("n_form")).groupBy("lang", "form").agg(F.max(F.struct("n_word", "word"))["word"].alias("word"))
 
 
 def words_of(docs: DataFrame, key: str, text: str, lang: str | None) -> DataFrame:
@@ -123,7 +151,7 @@ def garbled_words(by_lang: DataFrame) -> DataFrame:
     byte_level = _dominant(vocabulary.mapInPandas(_all_forms(byte_forms), FORMS), vocabulary)
 
     runs = overall.select("lang", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(RUN), F.lit(0)))).alias("word"), "n").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    run_level = _dominant(runs.mapInPandas(_all_forms(utf8_forms), FORMS), runs).select(F.col("form").alias("run"), F.col("word").alias("to"))
+    run_level = _dominant(runs.mapInPandas(_all_forms(run_forms), FORMS), runs).select(F.col("form").alias("run"), F.col("word").alias("to"))
 
     distinct = by_lang.select("lang", "word")
     own = distinct.join(byte_level.where("lang <> '*'").select("lang", F.col("form").alias("word"), F.col("word").alias("own")), ["lang", "word"], "left")
@@ -136,13 +164,15 @@ def garbled_words(by_lang: DataFrame) -> DataFrame:
     swapped = F.aggregate("swaps", F.col("word"), lambda t, s: F.replace(t, s["run"], s["to"]))
     by_run = swaps.select("lang", "word", swapped.alias("run_word"))
     lost = F.col("word").contains(LOST)
-    both = by_byte.join(by_run, ["lang", "word"], "left").where(lost | F.col("byte_word").isNotNull() | F.col("run_word").isNotNull())
+    both = by_byte.join(by_run, ["lang", "word"], "left").where(F.col("byte_word").isNotNull() | F.col("run_word").isNotNull())
     # a single sign can be a proper letter or symbol of its own: it is put back, but proves nothing
     letters = F.length("word") > 1, F.col("word").rlike(r"^\p{L}$") & F.col("byte_word").rlike(r"^\p{L}$")
-    both = both.where(lost | F.col("run_word").isNotNull() | letters[0] | letters[1])
+    both = both.where(F.col("run_word").isNotNull() | letters[0] | letters[1])
     first = both.select("lang", "word", F.when(~lost, F.coalesce("run_word", "byte_word")).alias("original"), (lost | F.col("run_word").isNotNull() | letters[0]).alias("proof"))
     again = first.select("lang", F.col("word").alias("original"), F.col("original").alias("deeper"))
-    return first.join(again, ["lang", "original"], "left").select("lang", "word", F.coalesce("deeper", "original").alias("original"), "proof")
+    deep = first.join(again, ["lang", "original"], "left").select("lang", "word", F.coalesce("deeper", "original").alias("original"), "proof")
+    # what does not turn into the form again is not put in its place
+    return deep.withColumn("original", F.when(_verified("original", "word"), F.col("original")))
 
 
 def garbled_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
@@ -151,14 +181,14 @@ def garbled_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Null, empty and ASCII texts have none; repeated rows give one row per key and word; texts of any length are read
     whole; without ``lang`` the corpus is taken as one language. The vocabulary is joined by hash and never sent to the driver.
     """
-    words, by_lang = words_in_languages(words_of(docs, key, text, lang))
+    words, by_lang = words_in_languages(cut(words_of(docs, key, text, lang)))
     return words.join(garbled_words(by_lang), ["lang", "word"]).select("doc", "word", "original", "proof").distinct()
 
 
 def repair_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """key, repaired, n_garbled, n_lost of every document with garbled words: its text with the originals put in place.
 
-    Words that have lost signs (U+FFFD) stay as they are and are counted in n_lost.
+    Words that have lost signs (U+FFFD), and those whose original does not turn into them again, stay as they are and are counted in n_lost.
     """
     bad = garbled_documents(docs, key, text, lang).groupBy("doc").agg(F.collect_list(F.struct("word", "original")).alias("swaps"), F.max("proof").alias("proof")).where("proof")
     source = docs.select(F.col(key).alias("doc"), F.col(text).alias("_text")).dropDuplicates(["doc"])
@@ -167,8 +197,6 @@ def repair_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
 @F.arrow_udf(T.StringType())
 def _put_back(texts: pa.Array, swaps: pa.Array) -> pa.Array:
-    import re
-
     unit = re.compile(UNIT)
     out = []
     for t, s in zip(texts.to_pylist(), swaps.to_pylist()):
