@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspan.functions import geometry as G
-from leafspan.functions.text import compare_key, concatenated, garbage, similarity
-from leafspan.operators.matching import BOX, PAGE, WordMatch, banded_pairs, greedy_assign, match_score
+from leafspan.functions.text import compare_key, concatenated, garbage, similarity, word_at
+from leafspan.operators.matching import BOX, PAGE, WordMatch, banded_pairs, greedy_assign, match_score, span
 from leafspan.session import cut
 
 
@@ -25,6 +25,8 @@ class Engine:
     center_distance: float | None = None
     letter: str = ""
     enabled: bool = True
+    #: Whether its rows are lines, which give a word by its place, and not words.
+    lines: bool = False
 
 
 #: The engines in the order in which they vote.
@@ -65,20 +67,45 @@ def _by_engine(values: dict[str, float], default: float, column: str = "engine")
     return out
 
 
-def match_secondaries(words: DataFrame, config: Config = Config()) -> DataFrame:
-    """file_id, page, engine, primary word id (l_word_id), secondary word id (r_word_id), score: each engine's matches with the primary."""
+def candidate_matches(words: DataFrame, config: Config = Config()) -> DataFrame:
+    """The pairs of a primary (l_) and a secondary word (r_) that may be one, with their engine and score: one join for all engines, each with its own
+    thresholds."""
     primary = words.where(F.col("engine") == config.primary)
-    parts = []
-    for e in config.secondaries:
-        m = config.match_of(e)
-        p = banded_pairs(primary, words.where(F.col("engine") == e), m.band).withColumn("score", match_score(m)).where(F.col("score").isNotNull())
-        parts.append(p.select(F.col("l_file_id").alias("file_id"), F.col("l_page").alias("page"), F.lit(e).alias("engine"), "l_word_id", "r_word_id", F.col("l_idx").alias("l_ord"), F.col("r_idx").alias("r_ord"), "score"))
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
+    second = words.where(F.col("engine").isin([e for e in config.secondaries if not config.engines[e].lines]))
+    of = {e: config.match_of(e) for e in config.secondaries}
+    by = lambda f: _by_engine({e: f(m) for e, m in of.items()}, 0.0, "r_engine")
+    reach = _by_engine({e: m.band for e, m in of.items()}, 0.0)
+    middle = G.center_y()
+    p = banded_pairs(primary, second, spans=((middle, middle), (middle - reach, middle + reach))).where(F.abs(G.center_y("l_") - G.center_y("r_")) <= by(lambda m: m.band))
+    score = match_score(config.match, by(lambda m: m.iou), by(lambda m: m.center_distance))
+    return p.withColumn("score", score).where(F.col("score").isNotNull()).withColumn("file_id", F.col("l_file_id")).withColumn("page", F.col("l_page")).withColumn("engine", F.col("r_engine"))
+
+
+def line_matches(primary: DataFrame, lines: DataFrame) -> DataFrame:
+    """file_id, page, engine, l_word_id, r_word_id, text: primary words in order each take the first line of an engine whose box holds their center and that is
+    free; the text is the word of the line at the center's relative place. A line goes to one word."""
+    middle = G.center_y()
+    p = banded_pairs(primary, lines, spans=((middle, middle), span())).where(G.contains("r_", G.center_x("l_"), G.center_y("l_")))
+    wide = G.width("r_")
+    place = F.when(wide > 0, (G.center_x("l_") - F.col("r_x0")) / wide).otherwise(0.5)
+    p = p.select(F.col("l_file_id").alias("file_id"), F.col("l_page").alias("page"), F.col("r_engine").alias("engine"), "l_word_id", "r_word_id", F.col("l_idx").alias("l_ord"), F.col("r_idx").alias("r_ord"), F.lit(0.0).alias("score"), word_at(F.col("r_text"), place).alias("text"))
+    group = [*PAGE, "engine"]
+    picked = greedy_assign(p, group, "l_ord", "r_ord", "score").drop("score")
+    return p.join(picked, [*group, "l_ord", "r_ord"]).select(*group, "l_word_id", "r_word_id", "text")
+
+
+def match_secondaries(words: DataFrame, config: Config = Config()) -> DataFrame:
+    """file_id, page, engine, primary word id (l_word_id), secondary word id (r_word_id), score, text (null but for engines of lines): each engine's
+    matches with the primary."""
+    pairs = candidate_matches(words, config).select(*PAGE, "engine", "l_word_id", "r_word_id", F.col("l_idx").alias("l_ord"), F.col("r_idx").alias("r_ord"), "score")
     group = [*PAGE, "engine"]
     picked = greedy_assign(pairs, group, "l_ord", "r_ord", "score").drop("score")
-    return pairs.join(picked, [*group, "l_ord", "r_ord"]).select(*group, "l_word_id", "r_word_id", "score")
+    found = pairs.join(picked, [*group, "l_ord", "r_ord"]).select(*group, "l_word_id", "r_word_id", "score", F.lit(None).cast("string").alias("text"))
+    of_lines = [e for e in config.secondaries if config.engines[e].lines]
+    if not of_lines:
+        return found
+    lines = line_matches(words.where(F.col("engine") == config.primary), words.where(F.col("engine").isin(of_lines)))
+    return found.unionByName(lines.withColumn("score", F.lit(0.0)))
 
 
 def known_words(words: DataFrame, config: Config = Config()) -> DataFrame:
@@ -104,7 +131,8 @@ def votes(words: DataFrame, matches: DataFrame, config: Config = Config()) -> Da
     """primary_id, engine, text, confidence, weight (without likeness) of every admitted vote: the primary's own and those matched with
     enough confidence; blank texts don't vote."""
     primary = words.where(F.col("engine") == config.primary).select(*PAGE, F.col("word_id").alias("primary_id"), "word_id", "engine", "text", "confidence")
-    other = matches.join(words.select("word_id", "text", "confidence"), F.col("r_word_id") == F.col("word_id")).where(F.col("confidence") >= config.vote_conf)
+    read = words.select("word_id", F.col("text").alias("_own"), "confidence")
+    other = matches.join(read, F.col("r_word_id") == F.col("word_id")).withColumn("text", F.coalesce("text", "_own")).where(F.col("confidence") >= config.vote_conf)
     v = primary.unionByName(other.select(*PAGE, F.col("l_word_id").alias("primary_id"), "word_id", "engine", "text", "confidence")).where(F.trim("text") != "").withColumnRenamed("word_id", "vote_id")
     ballot = Window.partitionBy("primary_id")
     rank = _by_engine({e: float(i) for i, e in enumerate([config.primary, *config.secondaries])}, 99.0).cast("bigint")
@@ -146,14 +174,14 @@ def suppressed(words: DataFrame, config: Config = Config()) -> DataFrame:
     """word_id of secondary words of confidence below 50 that hold the centers of two or more primary words."""
     primary = words.where(F.col("engine") == config.primary)
     weak = words.where((F.col("engine") != config.primary) & (F.col("confidence") < 50))
-    tall = F.greatest(F.lit(1.0), F.lit(60.0))
-    p = banded_pairs(weak.where(G.height() <= tall), primary, 30.0).where(G.contains("l_", G.center_x("r_"), G.center_y("r_")))
+    middle = G.center_y(), G.center_y()
+    p = banded_pairs(weak, primary, spans=(span(), middle)).where(G.contains("l_", G.center_x("r_"), G.center_y("r_")))
     return p.groupBy(F.col("l_word_id").alias("word_id")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("word_id")
 
 
 def corroborated(words: DataFrame, threshold: float) -> DataFrame:
     """word_id of secondary words that another secondary engine has too, by IoU."""
-    p = banded_pairs(words, words, 20.0).where((F.col("l_engine") != F.col("r_engine")) & (G.iou("l_", "r_") >= threshold))
+    p = banded_pairs(words, words).where((F.col("l_engine") != F.col("r_engine")) & (G.iou("l_", "r_") >= threshold))
     return p.select(F.col("l_word_id").alias("word_id")).distinct()
 
 
@@ -166,7 +194,7 @@ def unmatched_secondaries(words: DataFrame, matches: DataFrame, config: Config =
     primary = words.where(F.col("engine") == config.primary)
     second = words.where(F.col("engine").isin(config.secondaries))
     rest = second.join(matches.select(F.col("r_word_id").alias("word_id")).distinct(), "word_id", "left_anti").join(suppressed(words, config), "word_id", "left_anti")
-    near = banded_pairs(rest, primary, 20.0)
+    near = banded_pairs(rest, primary, 15.0)
     dy = F.abs(G.center_y("l_") - G.center_y("r_"))
     blocked = near.where((G.iou("l_", "r_") >= config.match.iou) | ((compare_key(F.col("l_text")) == compare_key(F.col("r_text"))) & (compare_key(F.col("l_text")) != "") & (dy <= 15))).select(F.col("l_word_id").alias("word_id")).distinct()
     left = rest.join(blocked, "word_id", "left_anti")
@@ -188,7 +216,7 @@ def fragments(rows: DataFrame) -> DataFrame:
     """word_id of fragments: words of one source and low confidence, two or more of which one sure secondary-only word covers on its line."""
     whole = rows.where((F.col("status") == "secondary_only") & (F.col("confidence") >= 90))
     piece = rows.where(F.col("status").isin("low_conf", "pixel") & (F.length("source") == 1))
-    p = banded_pairs(whole, piece, 15.0).where(F.least("l_x1", "r_x1") > F.greatest("l_x0", "r_x0"))
+    p = banded_pairs(whole, piece, 15.0).where((F.abs(G.center_y("l_") - G.center_y("r_")) <= 15) & (F.least("l_x1", "r_x1") > F.greatest("l_x0", "r_x0")))
     n = Window.partitionBy("l_word_id")
     return p.withColumn("n", F.count(F.lit(1)).over(n)).where("n >= 2").select(F.col("r_word_id").alias("word_id")).distinct()
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafspan.functions import geometry as G
-from leafspan.operators.matching import BOX, PAGE, banded_pairs
+from leafspan.operators.matching import BAND, BOX, PAGE, banded_pairs
 from leafspan.session import cut
 
 
@@ -51,16 +52,18 @@ def distance_thresholds(words: DataFrame, config: Config = Config()) -> DataFram
 
 def row_pairs(words: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Pairs of words of a page whose gaps say that they stand in one row, with the distance of their centers."""
-    w = words.select(*PAGE, "word_id", *BOX)
-    p = banded_pairs(w, w, 40.0).where(F.col("l_word_id") < F.col("r_word_id"))
-    t = thresholds.select(*[F.col(c).alias(f"l_{c}") for c in PAGE], "x_threshold")
+    w = words.select(*PAGE, "word_id", *BOX).join(thresholds.select(*PAGE, "x_threshold"), PAGE)
+    # a gap of half the smaller height is at most a quarter of either
+    tall = F.greatest(G.height(), F.lit(0.0)) / 4
+    wide = F.least("y0", "y1") - tall, F.greatest("y0", "y1") + tall
+    p = banded_pairs(w, w.drop("x_threshold"), spans=(wide, wide)).where(F.col("l_word_id") < F.col("r_word_id"))
     small = F.least(G.height("l_"), G.height("r_"))
-    return p.join(t, [f"l_{c}" for c in PAGE]).where((G.gap("l_", "r_", "x") <= 3 * F.col("x_threshold")) & (G.gap("l_", "r_", "y") <= 0.5 * small)).select(F.col("l_file_id").alias("file_id"), F.col("l_page").alias("page"), F.abs(G.center_y("l_") - G.center_y("r_")).alias("dy"))
+    return p.where((G.gap("l_", "r_", "x") <= 3 * F.col("l_x_threshold")) & (G.gap("l_", "r_", "y") <= 0.5 * small)).select(F.col("l_file_id").alias("file_id"), F.col("l_page").alias("page"), F.abs(G.center_y("l_") - G.center_y("r_")).alias("dy"))
 
 
-def y_fuzz(words: DataFrame, config: Config = Config()) -> DataFrame:
+def y_fuzz(words: DataFrame, config: Config = Config(), thresholds: DataFrame | None = None) -> DataFrame:
     """file_id, page, fuzz: how far words of one row are apart vertically, held to a share of the mean height."""
-    noise = row_pairs(words, distance_thresholds(words, config)).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.median("dy").alias("med"), F.stddev_pop("dy").alias("std"))
+    noise = row_pairs(words, distance_thresholds(words, config) if thresholds is None else thresholds).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.median("dy").alias("med"), F.stddev_pop("dy").alias("std"))
     tall = words.groupBy(*PAGE).agg(F.avg(G.height()).alias("tall"))
     raw = F.when(F.coalesce("n", F.lit(0)) < 3, config.fuzz_default).otherwise(F.greatest(F.col("med") + F.col("std"), config.fuzz_times * F.col("std"), F.lit(config.fuzz_default)))
     return tall.join(noise, PAGE, "left").select(*PAGE, F.least(raw, config.fuzz_height * F.col("tall")).alias("fuzz"))
@@ -73,9 +76,9 @@ def rows(words: DataFrame, fuzz: DataFrame, by: list[str] = PAGE) -> DataFrame:
     return _centers(words).join(fuzz, PAGE).withColumn("_new", new).withColumn("row", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def column_boundaries(words: DataFrame, config: Config = Config()) -> DataFrame:
+def column_boundaries(words: DataFrame, config: Config = Config(), fuzz: DataFrame | None = None) -> DataFrame:
     """file_id, page, bounds: the middles of gaps within rows of three times their median or more, sorted, each once."""
-    r = rows(words, y_fuzz(words, config))
+    r = rows(words, y_fuzz(words, config) if fuzz is None else fuzz)
     w = Window.partitionBy(*PAGE, "row").orderBy("x0", "word_id")
     g = r.withColumn("gap", F.col("x0") - F.lag("x1").over(w)).withColumn("at", (F.col("x0") + F.lag("x1").over(w)) / 2).where("gap > 0")
     big = g.withColumn("m", F.median("gap").over(Window.partitionBy(*PAGE))).where("gap >= 3 * m")
@@ -83,17 +86,27 @@ def column_boundaries(words: DataFrame, config: Config = Config()) -> DataFrame:
     return words.select(*PAGE).distinct().join(found, PAGE, "left").withColumn("bounds", F.coalesce("bounds", F.array().cast("array<double>")))
 
 
+def page_measures(words: DataFrame, config: Config = Config()) -> DataFrame:
+    """file_id, page, x_threshold, y_threshold, fuzz, bounds: what the layout of a page is told by, worked out once and written as one row a page."""
+    thresholds = cut(distance_thresholds(words, config))
+    fuzz = cut(y_fuzz(words, config, thresholds))
+    return cut(thresholds.join(fuzz, PAGE).join(column_boundaries(words, config, fuzz), PAGE))
+
+
 def with_columns_of(words: DataFrame, bounds: DataFrame) -> DataFrame:
     """``words`` with col: how many boundaries lie at or left of the center."""
     return _centers(words).join(bounds, PAGE).withColumn("col", F.size(F.filter("bounds", lambda b: b <= F.col("cx"))).cast("bigint")).drop("bounds")
 
 
-def cluster_edges(words: DataFrame, config: Config = Config()) -> DataFrame:
+def cluster_edges(words: DataFrame, config: Config = Config(), measures: DataFrame | None = None) -> DataFrame:
     """file_id, page, a, b, rule of the pairs that belong together: side by side in a row (1), stacked in a column (2), or simply close (3)."""
-    w = with_columns_of(words, column_boundaries(words, config)).select(*PAGE, "word_id", *BOX, "col")
-    p = banded_pairs(w, w, 150.0).where(F.col("l_word_id") < F.col("r_word_id"))
-    t = distance_thresholds(words, config)
-    p = p.join(t.select(*[F.col(c).alias(f"l_{c}") for c in PAGE], "x_threshold", "y_threshold"), [f"l_{c}" for c in PAGE])
+    m = page_measures(words, config) if measures is None else measures
+    w = with_columns_of(words, m).select(*PAGE, "word_id", *BOX, "col", "x_threshold", "y_threshold")
+    # no rule reaches farther than the larger of these gaps; each side reaches half of it
+    far = F.greatest(F.lit(config.vertical_times), F.lit(1.0)) * F.col("y_threshold")
+    wide = F.least("y0", "y1") - far / 2, F.greatest("y0", "y1") + far / 2
+    p = banded_pairs(w, w, spans=(wide, wide), band=F.greatest(F.lit(BAND), far)).where(F.col("l_word_id") < F.col("r_word_id")).drop("r_x_threshold", "r_y_threshold")
+    p = p.withColumnsRenamed({"l_x_threshold": "x_threshold", "l_y_threshold": "y_threshold"})
     gx, gy = G.gap("l_", "r_", "x"), G.gap("l_", "r_", "y")
     same = F.col("l_col") == F.col("r_col")
     row = (G.overlap_ratio("l_", "r_", "y") >= config.y_overlap) & (gx <= config.same_row_times * F.col("x_threshold"))
@@ -103,14 +116,12 @@ def cluster_edges(words: DataFrame, config: Config = Config()) -> DataFrame:
     return p.withColumn("rule", rule.cast("bigint")).where("rule is not null").select(F.col("l_file_id").alias("file_id"), F.col("l_page").alias("page"), F.col("l_word_id").alias("a"), F.col("r_word_id").alias("b"), "rule")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """file_id, page, word_id, cluster: connected words of a page, named by their smallest word_id.
-
-    A page's words and edges go to one call of a union-find; pages are many and bounded.
-    """
-
-    def join(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        parent = {i: i for i in n["word_id"].tolist()}
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _joined(nodes: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+    """For each node of a page the least node that is connected with it."""
+    out = []
+    for ids, left, right in zip(nodes.to_pylist(), a.to_pylist(), b.to_pylist()):
+        parent = {i: i for i in ids}
 
         def find(i: int) -> int:
             while parent[i] != i:
@@ -118,18 +129,27 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 i = parent[i]
             return i
 
-        for a, b in zip(e["a"].tolist(), e["b"].tolist()):
-            a, b = find(a), find(b)
-            parent[max(a, b)] = min(a, b)
-        return n.assign(cluster=[find(i) for i in n["word_id"].tolist()])
+        for x, y in zip(left or (), right or ()):
+            x, y = find(x), find(y)
+            parent[max(x, y)] = min(x, y)
+        out.append([find(i) for i in ids])
+    return pa.array(out, pa.list_(pa.int64()))
 
-    left = nodes.select(*PAGE, "word_id").groupBy(*PAGE)
-    return left.cogroup(edges.select(*PAGE, "a", "b").groupBy(*PAGE)).applyInPandas(join, "file_id bigint, page bigint, word_id bigint, cluster bigint")
 
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """file_id, page, word_id, cluster: connected words of a page, named by their smallest word_id.
+
+    A page's words and edges are one row for a union-find over Arrow batches; pages are many and bounded.
+    """
+    n = nodes.groupBy(*PAGE).agg(F.collect_list("word_id").alias("ids"))
+    e = edges.groupBy(*PAGE).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    both = n.join(e, PAGE, "left").withColumn("cluster", _joined("ids", "a", "b"))
+    return both.select(*PAGE, F.explode(F.arrays_zip(F.col("ids").alias("word_id"), "cluster")).alias("z")).select(*PAGE, "z.word_id", "z.cluster")
 
-def clusters(words: DataFrame, config: Config = Config()) -> DataFrame:
+
+def clusters(words: DataFrame, config: Config = Config(), measures: DataFrame | None = None) -> DataFrame:
     """``words`` with cluster and the cluster's box (c_x0 ...)."""
-    c = components(words, cluster_edges(words, config))
+    c = components(words, cluster_edges(words, config, measures))
     both = words.join(c, [*PAGE, "word_id"])
     w = Window.partitionBy(*PAGE, "cluster")
     return both.select("*", *[(F.min if s[1] == "0" else F.max)(s).over(w).alias(f"c_{s}") for s in BOX])
@@ -138,8 +158,9 @@ def clusters(words: DataFrame, config: Config = Config()) -> DataFrame:
 def reading_order(words: DataFrame, config: Config = Config()) -> DataFrame:
     """file_id, page, word_id, cluster, band, row, position: clusters in bands from top to bottom, in a band from left to right, in a cluster row by row."""
     words = cut(words)
-    fuzz = cut(y_fuzz(words, config))
-    c = cut(clusters(words, config))
+    measures = page_measures(words, config)
+    fuzz = measures.select(*PAGE, "fuzz")
+    c = cut(clusters(words, config, measures))
     one = c.select(*PAGE, "cluster", "c_x0", "c_y0", "c_y1").distinct().join(fuzz, PAGE)
     by_top = Window.partitionBy(*PAGE).orderBy("c_y0", "cluster")
     low = F.max("c_y1").over(by_top.rowsBetween(Window.unboundedPreceding, -1))
@@ -186,7 +207,20 @@ def reconstruct_lines(words: DataFrame, order: str = "word_id") -> DataFrame:
 
 
 def order_concordance(order: DataFrame, truth: str = "word_id") -> DataFrame:
-    """file_id, page, concordance: the share of neighbours in reading order that are in true order, 1 for pages of one word."""
-    w = Window.partitionBy(*PAGE).orderBy("position")
-    n = order.withColumn("ok", F.col(truth) > F.lag(truth).over(w))
-    return n.groupBy(*PAGE).agg(F.coalesce(F.try_divide(F.count_if("ok"), F.count("ok")), F.lit(1.0)).alias("concordance"))
+    """file_id, page, concordance: (concordant - discordant) of all pairs of a page's words, in reading order and in true order, as a share of the
+    pairs; 1 for pages of one word.
+
+    Discordant pairs are the inversions of the positions in true order. They are counted level by level, as a merge sort does: two positions whose
+    binary digits first differ at a digit are apart by that digit, so at each of the levels one window counts, among the positions that
+    agree in all higher digits, the ones with digit 1 that stand before one with digit 0. Nothing pairs all words of a page.
+    """
+    t = Window.partitionBy(*PAGE)
+    r = order.select(*PAGE, (F.row_number().over(t.orderBy("position")) - 1).cast("long").alias("p"), F.row_number().over(t.orderBy(truth)).alias("t"))
+    top = F.greatest(F.ceil(F.log2(F.count(F.lit(1)).over(t).cast("double"))), F.lit(1))
+    r = r.withColumn("_top", top - 1).select(*PAGE, "t", "p", F.explode(F.sequence(F.lit(0).cast("long"), "_top")).alias("level"))
+    r = r.withColumn("digit", F.expr("getbit(p, cast(level as int))")).withColumn("above", F.expr("shiftright(p, cast(level as int) + 1)"))
+    ones = F.sum("digit").over(Window.partitionBy(*PAGE, "level", "above").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+    r = r.withColumn("before", F.when(F.col("digit") == 0, F.coalesce(ones, F.lit(0))).otherwise(0))
+    c = r.groupBy(*PAGE).agg(F.sum("before").alias("wrong"), F.count_if(F.col("level") == 0).alias("n"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    return c.select(*PAGE, F.when(pairs > 0, (pairs - 2 * F.col("wrong")) / pairs).otherwise(1.0).alias("concordance"))

@@ -22,6 +22,10 @@ CONFUSIONS = (
 MULTI = (("rn", "m", 0.85), ("m", "rn", 0.8), ("cl", "d", 0.7), ("d", "cl", 0.6), ("vv", "w", 0.75), ("w", "vv", 0.7), ("ii", "u", 0.7), ("u", "ii", 0.65))
 
 
+#: Parts into which short texts of one length are divided among tasks.
+SALT = 16
+
+
 @dataclass(frozen=True)
 class Weights:
     frequency: float = 1.0
@@ -71,12 +75,16 @@ def similar_pairs(queries: DataFrame, terms: DataFrame, k: int, query: str = "qu
     """query, term, distance of all pairs within ``k`` edits, each once.
 
     A term is cut into k + 1 segments, one of which every text within k edits holds unchanged, shifted by at most k. So the pairs meet in an equi-join
-    on (length, segment number, segment), exact and without comparing everything with everything. Texts of at most 2k signs meet in one key besides.
+    on (length, segment number, segment), exact and without comparing everything with everything. Terms of at most k signs meet texts by both lengths.
     """
     t = terms.select(F.col(term).alias("t")).where("t <> ''").distinct().withColumn("n", F.length("t"))
     key = lambda n, i, s: F.concat_ws("|", n.cast("string"), F.lit(str(i)), s)
     tk = F.array(*[key(F.col("n"), i, F.substr(F.col("t"), s + 1, m)) for i, (s, m) in enumerate(_segments(F.col("n"), k))])
-    tk = F.when(F.col("n") <= k, F.array(F.lit("short"))).otherwise(tk)
+    # texts of k signs and fewer have nothing to share: they meet by their lengths, salted on the side of the queries, which may be many
+    blank = lambda n, l, salt: F.concat_ws("|", n.cast("string"), l.cast("string"), salt.cast("string"))
+    salts = [F.lit(i) for i in range(SALT)]
+    short = F.flatten(F.transform(F.sequence(F.greatest(F.col("n") - k, F.lit(1)), F.col("n") + k), lambda l: F.transform(F.array(*salts), lambda s: blank(F.col("n"), l, s))))
+    tk = F.when(F.col("n") <= k, short).otherwise(tk)
     q = queries.select(F.col(query).alias("q")).where("q <> ''").distinct().withColumn("l", F.length("q"))
 
     def keys_of(n: Column, i: int, start: Column, size: Column) -> Column:
@@ -87,7 +95,7 @@ def similar_pairs(queries: DataFrame, terms: DataFrame, k: int, query: str = "qu
         return F.concat(*[keys_of(n, i, s, m) for i, (s, m) in enumerate(_segments(n, k))])
 
     lengths = F.filter(F.sequence(F.col("l") - k, F.col("l") + k), lambda n: n > k)
-    qk = F.concat(F.flatten(F.transform(lengths, of_length)), F.when(F.col("l") <= 2 * k, F.array(F.lit("short"))).otherwise(F.array().cast("array<string>")))
+    qk = F.concat(F.flatten(F.transform(lengths, of_length)), F.when(F.col("l") <= 2 * k, F.transform(F.sequence(F.lit(1), F.lit(k)), lambda n: blank(n, F.col("l"), F.pmod(F.xxhash64("q"), F.lit(SALT))))).otherwise(F.array().cast("array<string>")))
     pairs = q.select("q", F.explode(F.array_distinct(qk)).alias("key")).join(t.select("t", F.explode(F.array_distinct(tk)).alias("key")), "key").select("q", "t").distinct()
     return pairs.withColumn("d", F.levenshtein("q", "t", k)).where("d >= 0").select(F.col("q").alias(query), F.col("t").alias(term), F.col("d").cast("bigint").alias("distance"))
 
@@ -142,10 +150,33 @@ def unigrams(words: DataFrame, text: str = "text") -> DataFrame:
 
 
 def neighbours(words: DataFrame, by: list[str], order: list[str], text: str = "text") -> DataFrame:
-    """``words`` with before and after: the lower-case cores of the words on either side."""
+    """``words`` with before and after: the lower-case cores of the words on either side, over the whole of a document.
+
+    ``by`` is the document and the page. Words are put in order page by page; the first and the last word of a page look over the break
+    through one small row per page, so that no document is sorted in one task.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
     core = F.lower(core_of(F.col(text)))
-    return words.withColumn("before", F.lag(core).over(w)).withColumn("after", F.lead(core).over(w))
+    edge = F.struct(*order, core.alias("_core"))
+    over = Window.partitionBy(*by[:-1]).orderBy(by[-1])
+    ends = words.groupBy(*by).agg(F.min(edge)["_core"].alias("_first"), F.max(edge)["_core"].alias("_last"))
+    ends = ends.select(*by, F.lag("_last").over(over).alias("_before"), F.lead("_first").over(over).alias("_after"))
+    side = lambda c, page: F.when(c.isNotNull(), c["c"]).otherwise(F.col(page))
+    one = F.struct(core.alias("c"))
+    n = words.withColumn("_b", F.lag(one).over(w)).withColumn("_a", F.lead(one).over(w)).join(ends, by)
+    return n.withColumn("before", side(F.col("_b"), "_before")).withColumn("after", side(F.col("_a"), "_after")).drop("_b", "_a", "_before", "_after")
+
+
+def context_window(words: DataFrame, by: list[str], order: list[str], width: int, text: str = "text") -> DataFrame:
+    """``words`` with context: the lower-case texts of up to ``width`` words on either side within ``by``, without the word itself."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    sides = [F.collect_list(F.lower(text)).over(w.rowsBetween(*r)) for r in ((-width, -1), (1, width))]
+    return words.withColumn("context", F.concat(*sides))
+
+
+def side_totals(two: DataFrame) -> DataFrame:
+    """word, n: the counts of pairs of words (w1, w2, n), summed over both sides."""
+    return two.select(F.explode(F.array("w1", "w2")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def bigrams(words: DataFrame, by: list[str], order: list[str], text: str = "text") -> DataFrame:
@@ -172,13 +203,13 @@ def preserve_reason(text: Column, confidence: Column, exact: Column, exact_core:
     )
 
 
-def sanitize(words: DataFrame, terms: DataFrame, config: Config = Config(), ranked: bool = True) -> DataFrame:
+def sanitize(words: DataFrame, terms: DataFrame, config: Config = Config(), ranked: bool = True, keep_uncertain: bool = True) -> DataFrame:
     """``words`` (file_id, page, word_id, text, confidence, engine) with status, sanitized_text, edit_distance, correction_score and matched_dictionary;
     columns that had these names are replaced.
 
-    The phases in order: skip, preserve, correct (two edits), context (three), uncertain. Candidates are looked up once for each distinct core; the factors
+    The phases in order: skip, preserve, correct (two edits), context (three), uncertain (kept, or left blank without ``keep_uncertain``). Candidates are looked up once for each distinct core; the factors
     that depend on the place (document, bigram) are joined to the candidates of the words that reach these phases. Of equal scores the smaller distance
-    wins, then the earlier dictionary, then the term that sorts last.
+    wins, then the earlier dictionary, then the term that stands first in it (``ord``, where ``terms`` has it, else in the order of terms).
     """
     order = ["file_id", "page"]
     w = words.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("core", core_of(F.col("text")))
@@ -189,7 +220,8 @@ def sanitize(words: DataFrame, terms: DataFrame, config: Config = Config(), rank
     w = cut(w)
     open_ = w.where("_skip is null and _keep is null and core <> ''")
     pairs = similar_pairs(open_.select(F.lower("core").alias("query")), terms, config.context_edits, "query", "term_lower")
-    entries = terms.select("term_lower", "term", "dictionary", "weight", _rank_of(F.col("dictionary"), config).alias("rank"))
+    place = F.col("ord").cast("bigint") if "ord" in terms.columns else F.lit(0).cast("bigint")
+    entries = terms.select("term_lower", "term", "dictionary", "weight", _rank_of(F.col("dictionary"), config).alias("rank"), place.alias("place"))
     cand = open_.select("word_id", "file_id", "core", "before", "after", F.lower("core").alias("query")).join(pairs, "query").join(entries, "term_lower")
     factor = F.lit(1.0)
     if ranked:
@@ -207,23 +239,45 @@ def sanitize(words: DataFrame, terms: DataFrame, config: Config = Config(), rank
         factor = frequency_factor(F.col("n_term"), top, config.weights) * document_factor(F.col("n_file"), config.weights) * bigram_factor(F.col("n_before_term"), F.col("n_before"), F.col("n_term_after"), F.col("n_term"), config.weights) * ocr_factor(F.col("core"), F.col("term"), config.weights)
     score = lambda k: F.round(F.col("weight") * (1 - F.col("distance") / (k + 1)) * factor, 9)
     cand = cand.withColumn("s2", F.when(F.col("distance") <= config.correct_edits, score(config.correct_edits))).withColumn("s3", F.when(F.col("distance") > 0, score(config.context_edits)))
-    best = lambda s: F.max(F.when(F.col(s).isNotNull(), F.struct(F.col(s).alias("score"), (-F.col("distance")).alias("d"), (-F.col("rank")).alias("r"), F.col("term"), F.col("dictionary"))))
+    best = lambda s: F.min(F.when(F.col(s).isNotNull(), F.struct((-F.col(s)).alias("loss"), F.col("distance").alias("d"), F.col("rank").alias("r"), "place", "term", "dictionary")))
     found = cand.groupBy("word_id").agg(best("s2").alias("a"), best("s3").alias("b"))
     r = w.join(found, "word_id", "left")
-    corrected, context = F.coalesce(F.col("a.score") >= config.correct_score, F.lit(False)), F.coalesce(F.col("b.score") >= config.context_score, F.lit(False))
+    corrected, context = F.coalesce(-F.col("a.loss") >= config.correct_score, F.lit(False)), F.coalesce(-F.col("b.loss") >= config.context_score, F.lit(False))
     made = lambda c: F.concat(prefix_of(F.col("text")), like_case(F.col(f"{c}.term"), F.col("core")), suffix_of(F.col("text")))
     pick = lambda skip, keep, a, b, other: F.when(F.col("_skip").isNotNull(), skip).when(F.col("_keep").isNotNull(), keep).when(corrected, a).when(context, b).otherwise(other)
     made_here = ("status", "sanitized_text", "edit_distance", "correction_score", "matched_dictionary")
     return r.select(
         *[c for c in words.columns if c not in made_here],
         pick(F.lit("skipped"), F.lit("preserved"), F.when(F.col("a.d") == 0, "preserved").otherwise("corrected"), F.lit("context"), F.lit("uncertain")).alias("status"),
-        pick(F.col("text"), F.col("text"), made("a"), made("b"), F.col("text")).alias("sanitized_text"),
-        pick(F.lit(0), F.lit(0), -F.col("a.d"), -F.col("b.d"), F.lit(0)).cast("bigint").alias("edit_distance"),
-        pick(F.lit(0.0), F.lit(1.0), F.col("a.score"), F.col("b.score"), F.lit(0.0)).alias("correction_score"),
+        pick(F.col("text"), F.col("text"), made("a"), made("b"), F.col("text") if keep_uncertain else F.lit("")).alias("sanitized_text"),
+        pick(F.lit(0), F.lit(0), F.col("a.d"), F.col("b.d"), F.lit(0)).cast("bigint").alias("edit_distance"),
+        pick(F.lit(0.0), F.lit(1.0), -F.col("a.loss"), -F.col("b.loss"), F.lit(0.0)).alias("correction_score"),
         pick(F.lit(None).cast("string"), F.coalesce("_whole", "_core"), F.col("a.dictionary"), F.col("b.dictionary"), F.lit(None).cast("string")).alias("matched_dictionary"),
     )
 
 
+def sanitize_evaluation(results: DataFrame, original: str = "original_text", sanitized: str = "sanitized_text", truth: str = "truth", by: list[str] = []) -> DataFrame:
+    """One row, or one for each value of ``by``: tp (changed to the truth), fp (changed, but not to it), fn (wrong and left), tn (right and left), precision,
+    recall, f1 and accuracy, 0 where nothing is there."""
+    o, s, t = (F.coalesce(c, F.lit("")) for c in (original, sanitized, truth))
+    count = {"tp": (s != o) & (s == t), "fp": (s != o) & (s != t), "fn": (s == o) & (o != t), "tn": (s == o) & (o == t)}
+    r = results.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(k) for k, c in count.items()])
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    c = F.col
+    r = r.withColumn("p", ratio(c("tp"), c("tp") + c("fp"))).withColumn("r", ratio(c("tp"), c("tp") + c("fn")))
+    return r.select(*by, "total", *count, F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(ratio(2 * c("p") * c("r"), c("p") + c("r")), 6).alias("f1"), F.round(ratio(c("tp") + c("tn"), c("total")), 6).alias("accuracy"))
+
+
+def ranking_factors(words: DataFrame, terms: DataFrame, k: int = 2, config: Config = Config()) -> DataFrame:
+    """query, term, distance, frequency, ocr, product: candidates of every distinct lower-case core with the factors that depend on no place, and their product."""
+    w = config.weights
+    uni = unigrams(words)
+    top = uni.agg(F.max("n").cast("double").alias("n")).scalar()
+    pairs = similar_pairs(uni.select(F.col("word").alias("query")), terms, k, "query", "term_lower")
+    f = pairs.join(uni.select(F.col("word").alias("term_lower"), "n"), "term_lower", "left").withColumn("frequency", frequency_factor(F.col("n"), top, w)).withColumn("ocr", ocr_factor(F.col("query"), F.col("term_lower"), w))
+    return f.select("query", "term_lower", "distance", F.round("frequency", 6).alias("frequency"), F.round("ocr", 6).alias("ocr"), F.round(F.col("frequency") * F.col("ocr"), 6).alias("product"))
+
+
 def sanitize_metrics(results: DataFrame) -> DataFrame:
     """One row of counts by status, and the coverage: the share of words kept or corrected."""
     of = lambda s: F.count_if(F.col("status") == s)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafspan.plans import pages, words
+from leafspan.plans import more, pages, words
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return words.QUERIES | pages.QUERIES
+    return words.QUERIES | pages.QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return words.ORACLE | pages.ORACLE
+    return words.ORACLE | pages.ORACLE | more.ORACLE

@@ -12,6 +12,7 @@ from leafspan.operators import harmonize as H
 from leafspan.operators import quality as Q
 from leafspan.operators.matching import banded_pairs
 from leafspan.plans.base import BOX, EW, HW, SW, core, engine_rows, harmonized_rows, slim_rows
+from leafspan.plans.sql import lev
 from leafspan.sources import files, scans, table
 
 r6 = lambda c, name: F.round(c, 6).alias(name)
@@ -30,15 +31,15 @@ def point_containment(spark, d):
 
 
 def bbox_pairs(spark, d):
-    """Measures of the pairs of two engines' words near each other."""
+    """Measures of the pairs of different engines' words whose centers are within 12 points vertically."""
     w = engine_rows(spark, d)
-    p = banded_pairs(w.where("engine = 'tesseract'"), w.where("engine = 'doctr'"), 12.0)
+    p = banded_pairs(w, w, 12.0).where((F.col("l_engine") < F.col("r_engine")) & (F.abs(G.center_y("l_") - G.center_y("r_")) <= 12))
     return p.select(F.col("l_word_id").alias("a"), F.col("r_word_id").alias("b"), r6(G.iou("l_", "r_"), "iou"), r6(G.gap("l_", "r_", "x"), "gap_x"), r6(G.gap("l_", "r_", "y"), "gap_y"), r6(G.overlap_ratio("l_", "r_", "x"), "overlap_x"), r6(G.overlap_ratio("l_", "r_", "y"), "overlap_y"), r6(G.center_distance("l_", "r_"), "distance"), G.same_line("l_", "r_").alias("same_line"))
 
 
 _PAIRS = f"""WITH {EW}, p AS (SELECT l.word_id AS a, r.word_id AS b, l.x0 AS lx0, l.y0 AS ly0, l.x1 AS lx1, l.y1 AS ly1, r.x0 AS rx0, r.y0 AS ry0, r.x1 AS rx1, r.y1 AS ry1,
   least(l.x1, r.x1) - greatest(l.x0, r.x0) AS ox, least(l.y1, r.y1) - greatest(l.y0, r.y0) AS oy
-  FROM ew l JOIN ew r ON l.file_id = r.file_id AND l.page = r.page AND l.engine = 'tesseract' AND r.engine = 'doctr' AND abs((l.y0 + l.y1) / 2 - (r.y0 + r.y1) / 2) <= 12),
+  FROM ew l JOIN ew r ON l.file_id = r.file_id AND l.page = r.page AND l.engine < r.engine AND abs((l.y0 + l.y1) / 2 - (r.y0 + r.y1) / 2) <= 12),
 q AS (SELECT *, (lx1 - lx0) * (ly1 - ly0) + (rx1 - rx0) * (ry1 - ry0) - ox * oy AS u, least(lx1 - lx0, rx1 - rx0) AS sx, least(ly1 - ly0, ry1 - ry0) AS sy, abs((ly0 + ly1) / 2 - (ry0 + ry1) / 2) AS dy, (lx0 + lx1) / 2 - (rx0 + rx1) / 2 AS dx FROM p)
 SELECT a, b, round(CASE WHEN ox > 0 AND oy > 0 AND u > 0 THEN ox * oy / u ELSE 0 END, 6) AS iou, round(greatest(-ox, 0) + 0, 6) AS gap_x, round(greatest(-oy, 0) + 0, 6) AS gap_y,
   round(CASE WHEN sx > 0 THEN greatest(ox, 0) / sx ELSE 0 END, 6) AS overlap_x, round(CASE WHEN sy > 0 THEN greatest(oy, 0) / sy ELSE 0 END, 6) AS overlap_y,
@@ -61,7 +62,7 @@ def clamp_confidence(spark, d):
 
 
 def scan_scaled(spark, d):
-    return scans.scaled_words(engine_rows(spark, d).where("engine = 'tesseract'"), 0.24, 0.24).select("word_id", "text", *[r6(F.col(c), c) for c in BOX], "confidence")
+    return scans.scaled_words(engine_rows(spark, d), 0.24, 0.24).select("word_id", "text", *[r6(F.col(c), c) for c in BOX], "confidence")
 
 
 def scan_polygons(spark, d):
@@ -146,11 +147,6 @@ _GARBAGE = f"""WITH {HW} SELECT word_id, CASE WHEN length(text) < 2 THEN true WH
   OR (length(text) > 3 AND regexp_matches(substr(text, 2, length(text) - 2), '\\p{{Lu}}') AND regexp_matches(substr(text, 2, length(text) - 2), '\\p{{Ll}}')) END AS garbage FROM hw"""
 
 
-def case_transfer(spark, d):
-    """Every voted text in the case of the first engine's reading."""
-    return harmonized_rows(spark, d).where("tess_text <> ''").select("word_id", X.like_case(X.normalised(F.col("text")), F.col("tess_text")).alias("cased"))
-
-
 def concatenated(spark, d):
     others = F.array(*[F.coalesce(f"{e}_text", F.lit("")) for e in ("tess", "easy", "doctr", "surya")])
     return harmonized_rows(spark, d).where("paddle_text <> ''").select("word_id", X.concatenated(F.col("paddle_text"), others).alias("concatenated"))
@@ -195,8 +191,13 @@ def _any(patterns: tuple[str, ...]) -> str:
     return " OR ".join(f"regexp_matches(trim(text), '{p}')" for p in patterns)
 
 
+def entity_sql(text: str = "text", names: bool = True) -> str:
+    name = "WHEN name IS NOT NULL THEN 'NAME' " if names else ""
+    return f"CASE WHEN {text} IS NULL OR trim({text}) = '' OR {_any(P.EXCEPTIONS)} THEN '' WHEN {_any(P.DATES)} THEN 'DATE' WHEN {_any(P.CODES)} THEN 'CODE' {name}ELSE '' END"
+
+
 _TAGGED = f"""{HW}, names AS (SELECT DISTINCT lower(trim(term)) AS name FROM dict_terms WHERE dictionary = 'place' AND trim(term) <> ''),
-tagged AS (SELECT hw.*, CASE WHEN trim(text) = '' OR {_any(P.EXCEPTIONS)} THEN '' WHEN {_any(P.DATES)} THEN 'DATE' WHEN {_any(P.CODES)} THEN 'CODE' WHEN name IS NOT NULL THEN 'NAME' ELSE '' END AS entity
+tagged AS (SELECT hw.*, {entity_sql()} AS entity
   FROM hw LEFT JOIN names ON lower(regexp_replace(text, '^{_W}+|{_W}+$', '', 'g')) = name)"""
 
 
@@ -322,7 +323,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bbox_geometry, point_containment, bbox_pairs, rotate_bbox, scale_px_to_pt, clamp_confidence, scan_scaled, scan_polygons, line_split_width, line_split_letters, char_islands, ctc_decode, tokenize_words, word_at_position,
-        text_measures, garbage_text, case_transfer, concatenated, engine_distances, entity_tag, entity_stats, redaction_drawlist, redaction_preview, redaction_boxes, triage_stats, region_kinds, missed_regions, csv_harmonized, document_json,
+        text_measures, garbage_text, concatenated, engine_distances, entity_tag, entity_stats, redaction_drawlist, redaction_preview, redaction_boxes, triage_stats, region_kinds, missed_regions, csv_harmonized, document_json,
         histograms, page_summary, engines_present, document_listing, vocabulary_sets, position_numbers, top_words, export_upright, source_letters,
     )
 } | {f"triage_{level}": _triage(level) for level in Q.LEVELS}
@@ -333,7 +334,7 @@ ORACLE = {
     "rotate_bbox": f"WITH {HW}, {_PM} SELECT word_id, rotation, " + ", ".join(f"round(CASE rotation WHEN 0 THEN {a} WHEN 90 THEN {b} WHEN 180 THEN {c} ELSE {e} END, 6) AS {k}" for k, (a, b, c, e) in _ROT.items()) + " FROM hw JOIN pm USING (file_id, page)",
     "scale_px_to_pt": f"WITH {SW} SELECT word_id, " + ", ".join(f"round({c} * (72.0::double / 300), 6) AS {c}" for c in BOX) + " FROM sw",
     "clamp_confidence": f"WITH {EW} SELECT word_id, round(greatest(0, least(100, confidence + CASE engine WHEN 'doctr' THEN 12 WHEN 'tesseract' THEN -20 ELSE 0 END)), 6) AS confidence FROM ew",
-    "scan_scaled": f"WITH {EW} SELECT word_id, trim(text) AS text, " + ", ".join(f"round({c} * 0.24::double, 6) AS {c}" for c in BOX) + ", confidence FROM ew WHERE engine = 'tesseract' AND trim(text) <> '' AND confidence >= 0",
+    "scan_scaled": f"WITH {EW} SELECT word_id, trim(text) AS text, " + ", ".join(f"round({c} * 0.24::double, 6) AS {c}" for c in BOX) + ", confidence FROM ew WHERE trim(text) <> '' AND confidence >= 0",
     "scan_polygons": f"WITH {EW} SELECT word_id, round(x0 - 1, 6) AS x0, round(least(y0, y1), 6) AS y0, round(greatest(x1, x0), 6) AS x1, round(greatest(y1, y0) + 2, 6) AS y1 FROM ew",
     "line_split_width": _SPLIT_WIDTH,
     "line_split_letters": _SPLIT_LETTERS,
@@ -361,6 +362,7 @@ ORACLE = {
     "position_numbers": f"WITH {SW} SELECT word_id, row_number() OVER (PARTITION BY file_id ORDER BY page, y0, x0, word_id) - 1 AS number FROM sw",
     "top_words": f"WITH {SW} SELECT lower(text) AS word, count(*) AS n FROM sw WHERE text <> '' GROUP BY 1 ORDER BY n DESC, word LIMIT 10",
     "export_upright": f"WITH {SW}, {_PM} SELECT word_id, round(x0, 6) AS x0, round(h - y1, 6) AS y0, round(x1, 6) AS x1, round(h - y0, 6) AS y1 FROM sw JOIN pm USING (file_id, page)",
+    "engine_distances": f"WITH {HW} SELECT word_id, " + ", ".join(f"(CASE WHEN coalesce({e}_text, '') = '' THEN -1 ELSE {lev('text', f'{e}_text')} END)::bigint AS dist_{e}" for e in ("tess", "easy", "doctr", "paddle", "surya")) + " FROM hw",
     "source_letters": f"""WITH {HW}, s AS (SELECT word_id, conf, concat(CASE WHEN tess_text <> '' THEN 'T' END, CASE WHEN easy_text <> '' THEN 'E' END, CASE WHEN paddle_text <> '' THEN 'P' END, CASE WHEN doctr_text <> '' THEN 'D' END, CASE WHEN surya_text <> '' THEN 'S' END) AS letters FROM hw)
       SELECT word_id, letters, CASE WHEN conf >= 60 THEN 'word' WHEN conf >= 20 THEN 'low_conf' ELSE 'pixel' END AS status, CASE WHEN conf >= 98 OR (conf >= 92 AND length(letters) > 1) THEN 'secondary_only' WHEN conf >= 20 THEN 'low_conf' ELSE 'pixel' END AS solo_status FROM s""",
     "char_islands": f"""WITH {SW}, c AS (SELECT word_id AS line_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS pos, x0, y0, y1, (x1 - x0) / length(text) AS cw, confidence / 100 AS conf FROM sw WHERE text <> ''),

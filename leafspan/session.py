@@ -48,11 +48,13 @@ _shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir of the session, which all executors share; a temporary one only where
-    none is set (local work)."""
+    """The folder for intermediate tables: spark.checkpoint.dir of the session, which all executors share. Where none is set, a session that runs on this
+    machine alone has a temporary one; on a cluster that would lose data, so it is refused."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="leafspan-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -60,11 +62,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _local: list[str] = []
+_tables: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once as a compressed table to the shared folder and read back, so that it is computed once, is read by column, and
-    outlives lost executors. The tables stay until that folder is emptied, as others may still read them."""
+    outlives lost executors. This runs a job while the plan is built. The table goes with the application, or with ``clear`` before."""
     path = f"{shared_folder(df.sparkSession)}/leafspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, files = _place(df.sparkSession, path)
+    files.deleteOnExit(where)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    """A path and the file system that it is on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the intermediate tables written so far and gives their number. To be called when the results that came from them are written."""
+    n = len(_tables)
+    while _tables:
+        where, files = _place(spark, _tables.pop())
+        files.delete(where, True)
+    return n

@@ -21,11 +21,11 @@ def read_harmonized(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=HARMONIZED_SCHEMA, enforceSchema=False, multiLine=True, escape='"').na.fill(0.0, ["conf"]).na.fill(0, ["rotation"]).na.fill("")
 
 
-def read_redactions(spark: SparkSession, path: str) -> DataFrame:
-    """page, boxes: the boxes of rows whose redact is "true", by page."""
+def read_redactions(spark: SparkSession, path: str, by: tuple[str, ...] = ("page",)) -> DataFrame:
+    """``by``, boxes: the boxes of rows whose redact is "true", by page (and file, where files are read together)."""
     rows = spark.read.csv(path, header=True).where(F.lower(F.trim("redact")) == "true")
     box = F.struct(F.col("word_id").cast("bigint").alias("word_id"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    return rows.groupBy(F.col("page").cast("bigint").alias("page")).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    return rows.groupBy(*[F.col(c).cast("bigint").alias(c) for c in by]).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
 
 def read_dictionary(spark: SparkSession, path: str, name: str, frequencies: bool = False, min_length: int = 1, min_frequency: int = 0) -> DataFrame:
@@ -48,6 +48,11 @@ def read_counts(spark: SparkSession, path: str, words: int = 1) -> DataFrame:
     return v.select(*names, F.get("p", F.lit(1)).cast("bigint").alias("n")).where(F.col(f"w{words}").isNotNull() & F.col("n").isNotNull())
 
 
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """name of every line of a list of names: the whole line in lower case, without comments."""
+    return spark.read.text(path).select(F.lower(F.trim("value")).alias("name")).where("name <> '' and not startswith(name, '#')").distinct()
+
+
 def list_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """path, length, modificationTime of the documents below a folder; contents are not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
@@ -85,6 +90,36 @@ def write(rows: DataFrame, path: str, kind: str = "csv") -> None:
     w.csv(path, header=True, quoteAll=False, escape='"') if kind == "csv" else w.format(kind).save(path)
 
 
+def redacted_rows(tagged: DataFrame) -> DataFrame:
+    """Words with entity and redact as their CSV has them; redact is "true" or "false"."""
+    return tagged.withColumn("redact", F.when(F.col("redact"), "true").otherwise("false"))
+
+
+def word_list_json(terms: DataFrame, by: str = "dictionary", term: str = "term") -> DataFrame:
+    """``by``, letter, json: the terms of a list as JSON arrays in order, one for each first letter, so that no list is gathered whole."""
+    t = terms.select(by, F.lower(F.substr(term, F.lit(1), F.lit(1))).alias("letter"), term).distinct()
+    return t.groupBy(by, "letter").agg(F.to_json(F.sort_array(F.collect_list(term))).alias("json"))
+
+
+def lines_json(lines: DataFrame) -> DataFrame:
+    """file_id, page, line, json of reconstructed lines: line_id, text and bbox."""
+    box = F.struct("x0", "y0", "x1", "y1")
+    return lines.select("file_id", "page", "line", F.to_json(F.struct(F.col("line").alias("line_id"), "text", box.alias("bbox"))).alias("json"))
+
+
+def response_rows(words: DataFrame, pages: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, page, json: a page of the answer of a service: filename, total_words of the file, page_number, width, height, words with bbox as an object.
+
+    A page a row, with the file's total on each, for the caller to stream.
+    """
+    total = words.groupBy("file_id").agg(F.count(F.lit(1)).alias("total_words"))
+    size = pages.groupBy("file_id", "page").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    name = files.groupBy("file_id").agg(F.max("filename").alias("filename"))
+    w = F.struct("word_id", F.coalesce("text", F.lit("")).alias("text"), F.struct("x0", "y0", "x1", "y1").alias("bbox"), "page", "engine", "confidence")
+    page = words.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(w)).alias("words")).join(size, ["file_id", "page"], "left").join(name, "file_id", "left").join(total, "file_id")
+    return page.select("file_id", "page", "total_words", F.to_json(F.struct("filename", "total_words", F.col("page").alias("page_number"), "width", "height", "words")).alias("json"))
+
+
 def upright(box: DataFrame, page_height: Column) -> DataFrame:
     """Boxes in the space of PDF drawing, whose origin is at the bottom."""
     return box.withColumn("_y0", page_height - F.col("y1")).withColumn("y1", page_height - F.col("y0")).withColumn("y0", F.col("_y0")).drop("_y0")

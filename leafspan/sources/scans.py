@@ -15,6 +15,18 @@ def polygon_box(xs: Column, ys: Column) -> list[Column]:
     return [F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")]
 
 
+def nested_words(pages: DataFrame) -> DataFrame:
+    """file_id, page, idx, text, box, confidence of an engine that nests words in lines, blocks and pages, with corners as shares of the page and confidences from 0 to 1.
+
+    ``pages`` has file_id, page, width, height and blocks: array<struct<lines: array<struct<words: array<struct<value, geometry, confidence>>>>>>.
+    """
+    lines = pages.select("file_id", "page", "width", "height", F.posexplode("blocks").alias("b", "block")).select("*", F.posexplode("block.lines").alias("l", "line"))
+    w = lines.select("file_id", "page", "width", "height", "b", "l", F.posexplode("line.words").alias("k", "word"))
+    corner = lambda i, axis: F.col("word.geometry")[i][axis] * F.col(("width", "height")[axis])
+    idx = F.row_number().over(Window.partitionBy("file_id", "page").orderBy("b", "l", "k")) - 1
+    return w.select("file_id", "page", idx.cast("bigint").alias("idx"), F.col("word.value").alias("text"), corner(0, 0).alias("x0"), corner(0, 1).alias("y0"), corner(1, 0).alias("x1"), corner(1, 1).alias("y1"), (F.col("word.confidence") * 100).alias("confidence")).where("trim(text) <> ''")
+
+
 def scaled_words(rows: DataFrame, scale_x: float, scale_y: float) -> DataFrame:
     """Words of an engine that works in pixels: trimmed, without blank texts and negative confidences, in points."""
     box = [(F.col(c) * (scale_x if c[0] == "x" else scale_y)).alias(c) for c in ("x0", "y0", "x1", "y1")]

@@ -10,7 +10,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 def spark():
     from leafspan.session import local_session
 
-    return local_session(4, partitions=4, memory="4g", app="leafspan tests")
+    return local_session(8, partitions=2, memory="4g", app="leafspan tests")
 
 
 @pytest.fixture(scope="session")
