@@ -363,3 +363,15 @@ def test_lost_signs_are_found_by_their_forms(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = p9.garbled_documents(df).collect()
     assert {r.doc for r in got if r.proof} == {90} and all(r.original is None for r in got)
+
+
+def test_lexicon_and_form_are_learnt(spark):
+    """Where two readings stand against two, the word that is known elsewhere and unbroken wins, and its voters are found to be reliable."""
+    rows = [(i, w, w, w, w) for i, w in enumerate(["garden", "record", "council"] * 60)]
+    rows += [(1000 + i, *r) for i, r in enumerate([("garden", "gardcn", "garden", "gardcn"), ("rec0rd", "rec0rd", "record", "record"), ("council", "counci1", "counci1", "council")] * 20)]
+    rows += [(5000 + i, *(("garden",) * k + ("gxrden",) + ("garden",) * (3 - k))) for i, k in enumerate([0, 1, 2, 3] * 30)]
+    df = spark.createDataFrame(rows, "id bigint, a string, b string, c string, d string")
+    out = {r.label for r in p2.consensus(df, "id", list("abcd")).collect()}
+    assert out == {"garden", "record", "council"}
+    _, learnt = p2._weighed(p2._items(df, "id", list("abcd")), list("abcd"), [], True, True)
+    assert learnt["lexicon"]["accuracy"] > 0.9 and set(learnt) == {*"abcd", *p2.EVIDENCE}
