@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 #: Where the vocabulary files lie; a parameter of every function here.
 TOKENIZER_DIR = os.environ.get("LEAFSPAN_TOKENIZERS", "/opt/tokenizers")
 DEFAULT = "byte_bpe_50k"
-#: Distinct spans kept per worker before the cache starts afresh; bounds memory, not what is encoded.
-CACHE_SPANS = 400_000
+#: Bytes of spans and ids kept per worker before the cache starts afresh; bounds memory, not what is encoded.
+CACHE_BYTES = 64 << 20
 
 _UNITS = re.compile(r"\S+(?: \S+)*|\s+")
 _PIECES = re.compile(r" ?[^ ]*?[,.:](?=[0-9])| ?[^ ]+")
@@ -32,6 +33,15 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in keep else chr(next(rest)) for b in range(256)}
 
 
+def splits_before_merging(file: dict) -> bool:
+    """Whether a tokenizer file (as read from JSON) splits texts at white space and before digits behind punctuation, changes nothing before that, and
+    merges bytes within the splits only."""
+    pre = file.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers", [pre])
+    byte_level = [s for s in steps if s.get("type") == "ByteLevel"]
+    return file.get("normalizer") is None and len(steps) == len(byte_level) == 1 and byte_level[0].get("use_regex", True) and not byte_level[0].get("add_prefix_space", False) and (file.get("model") or {}).get("type") == "BPE"
+
+
 class ByteEncoder:
     """Ids of texts under one tokenizer file.
 
@@ -47,6 +57,9 @@ class ByteEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: Whether the file splits texts as the spans assume; texts are encoded whole where it doesn't.
+        self.splits = splits_before_merging(json.loads(self.tokenizer.to_str()))
+        self.kept = 0
         self.spans: dict[str, bytes] = {}
         self.gaps: dict[str, tuple[bytes, str]] = {}
 
@@ -58,16 +71,19 @@ class ByteEncoder:
             return b"".join(map(self.spans.__getitem__, pieces))
         except KeyError:
             new = [p for p in dict.fromkeys(pieces) if p not in self.spans]
-            self.spans.update(zip(new, self._whole(new)))
+            made = self._whole(new)
+            self.kept += sum(len(p) + len(b) + 200 for p, b in zip(new, made))  # and what Python needs for them
+            self.spans.update(zip(new, made))
             return b"".join(map(self.spans.__getitem__, pieces))
 
     def ids(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian int32 bytes."""
         if not text:
             return b""
-        if _ODD_SPACE.search(text):
+        if not self.splits or _ODD_SPACE.search(text):
             return self._whole([text])[0]
-        if len(self.spans) > CACHE_SPANS:
+        if self.kept > CACHE_BYTES:
+            self.kept = 0
             self.spans.clear()
             self.gaps.clear()
         spans, gaps, out, lead = self.spans, self.gaps, [], ""
@@ -86,6 +102,7 @@ class ByteEncoder:
                 got = self._pieces(_PIECES.findall(u))
                 if "-->" not in u:  # cue times hardly ever come again
                     spans[u] = got
+                    self.kept += len(u) + len(got) + 200
             out.append(got)
         if closing:
             out.append(self._pieces([closing]))
