@@ -61,12 +61,13 @@ def term_frequencies(words: DataFrame, text: str, record: str, key: str, min_rec
         w.where(F.col("_t").isNotNull() & (F.col("_t") != ""))
         .distinct()
         .select("_r", term_column("_t").alias("term"))
-        .where(F.col("term").isNotNull())
         .groupBy("term", "_r")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     mark = F.when(F.col("records") < min_records, F.lit("rare")).when(F.col("records") > max_share * total, F.lit("common"))
-    return per_record.groupBy("term").agg(F.sum("_n").alias("occurrences"), F.count("_r").alias("records")).withColumn("mark", mark)
+    # a filter on the term itself would be pushed below the counts, and the terms be worked out once more for it
+    counts = per_record.groupBy("term").agg(F.sum("_n").alias("occurrences"), F.count("_r").alias("records"), F.max(F.col("term").isNotNull()).alias("_ok")).where("_ok").drop("_ok")
+    return counts.withColumn("mark", mark)
 
 
 def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
