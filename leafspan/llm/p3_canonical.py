@@ -217,5 +217,6 @@ chosen AS (SELECT u.t, CASE WHEN b.cost = 0 THEN b.term_id WHEN s.n2 = 1 THEN s.
   FROM u LEFT JOIN best b USING (t) LEFT JOIN short s USING (t))
 """
 ORACLE = {
+    "p3_unmatched": _MATCH + "SELECT trim(v.original_text, ' ') AS value, count(*) AS results FROM v JOIN chosen c ON trim(v.original_text, E' \\t\\r\\n') = c.t WHERE term_id = -1 GROUP BY 1",
     "p3_found": _MATCH + "SELECT v.result_id, c.term_id FROM v JOIN chosen c ON trim(v.original_text, E' \\t\\r\\n') = c.t",
 }

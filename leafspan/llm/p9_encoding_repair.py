@@ -22,15 +22,20 @@ from pyspark.sql import types as T
 from leafspan.session import cut
 from leafspan.sources import table
 
-#: Encodings that UTF-8 bytes are wrongly read with.
-UTF8_READ_AS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp850", "cp852", "cp1251", "koi8-r", "cp866", "cp1254")
-#: (written in, read as) of single-byte encodings.
-BYTE_SWAPS = (
-    ("cp1251", "cp1252"), ("cp1251", "latin-1"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("koi8-r", "cp1252"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1252"), ("iso8859-5", "cp1251"), ("iso8859-5", "cp1252"), ("mac_cyrillic", "cp1251"), ("cp1251", "mac_roman"),
-    ("cp1250", "cp1252"), ("iso8859-2", "cp1252"), ("iso8859-2", "latin-1"), ("cp1250", "latin-1"), ("cp1250", "iso8859-2"), ("iso8859-2", "cp1250"), ("cp852", "cp1250"), ("cp852", "cp1252"), ("cp1250", "cp852"),
-    ("cp1254", "cp1252"), ("iso8859-9", "latin-1"), ("cp1254", "cp1250"), ("cp857", "cp1252"), ("cp1254", "cp437"), ("cp1254", "cp850"),
-    ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp1250"), ("cp1252", "cp1251"), ("cp1252", "cp1254"), ("mac_roman", "latin-1"), ("cp1250", "cp1251"),
-)
+#: Single-byte encodings by the script they are for.
+ENCODINGS = {
+    "western": ("cp1252", "latin-1", "mac_roman", "cp437", "cp850"),
+    "central": ("cp1250", "iso8859-2", "cp852"),
+    "turkish": ("cp1254", "iso8859-9", "cp857"),
+    "cyrillic": ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic"),
+}
+#: Encodings that programs take for granted wherever a text comes from.
+TAKEN = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman")
+#: Encodings that UTF-8 bytes are wrongly read with, and those that they are read with twice.
+UTF8_READ_AS = tuple(dict.fromkeys([*TAKEN, *ENCODINGS["central"], "koi8-r", "cp866", "cp1254"]))
+TWICE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254")
+#: (written in, read as) of single-byte encodings: any of a script read as another of it, or as one that is taken for granted.
+BYTE_SWAPS = tuple((w, r) for own in ENCODINGS.values() for w in own for r in dict.fromkeys([*own, *TAKEN]) if r != w)
 #: Encodings whose bytes are read as UTF-8, with U+FFFD for what makes no character.
 LOSSY_FROM = ("cp1252", "cp1250", "iso8859-2", "cp1251", "cp1254", "koi8-r")
 #: A word with signs outside ASCII: tried once where it begins, without turning back.
@@ -70,7 +75,7 @@ def utf8_forms(word: str) -> set[str]:
     for e in UTF8_READ_AS:
         once = _read(data, e)
         out |= {once}
-        if e in ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254"):
+        if e in TWICE:
             out |= {_read(once.encode("utf-8"), e)}
     out |= {_read(_read(data, "latin-1").encode("utf-8"), "cp1252")}
     return out - {word}

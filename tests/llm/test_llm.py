@@ -375,3 +375,14 @@ def test_lexicon_and_form_are_learnt(spark):
     assert out == {"garden", "record", "council"}
     _, learnt = p2._weighed(p2._items(df, "id", list("abcd")), list("abcd"), [], True, True)
     assert learnt["lexicon"]["accuracy"] > 0.9 and set(learnt) == {*"abcd", *p2.EVIDENCE}
+
+
+def test_other_splits_are_encoded_whole(spark):
+    """A file that splits otherwise is seen to do so, and gives the library's ids all the same."""
+    path = tokenizer_path("word_bpe_49k")
+    enc = encoder(path)
+    texts = ["Hello, World 12.5  twice", "x\n\ny .5", "", None, "naïve café"]
+    assert not enc.splits and encoder(tokenizer_path()).splits
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.ids for r in p7.encode_corpus(df, path=path).collect()}
+    assert got == {i: enc.tokenizer.encode(t, add_special_tokens=False).ids if t else [] for i, t in enumerate(texts)}
