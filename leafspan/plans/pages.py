@@ -404,13 +404,13 @@ def match_words_iou(spark, d):
 def evaluate(spark, d):
     """Every engine against the primary as truth."""
     f, t = _found_and_truth(spark, d)
-    return M.evaluation(f, t, M.match_to_truth(f, t, by=["engine"]).drop("engine"), by=["engine"])
+    return M.evaluation(f, t, M.match_to_truth(f, t, by=["engine"]), by=["engine"])
 
 
 def evaluate_pass(spark, d):
     """The same with the pass mark of the compact preset, 0.8."""
     f, t = _found_and_truth(spark, d)
-    return M.evaluation(f, t, M.match_to_truth(f, t, by=["engine"]).drop("engine"), by=["engine"], pass_mark=0.8).select("engine", "f1", "passed")
+    return M.evaluation(f, t, M.match_to_truth(f, t, by=["engine"]), by=["engine"], pass_mark=0.8).select("engine", "f1", "passed")
 
 
 def validate_matches(spark, d):
