@@ -12,7 +12,7 @@ from leafspan.functions import geometry as G
 from leafspan.functions.text import tokens
 from leafspan.operators import layout as L
 from leafspan.operators.matching import BOX, PAGE
-from leafspan.session import cut
+from leafspan.session import cut, spread
 
 #: Fixed values of the placement: page width, its margins, the indent within them, extra line height, space in character widths, sizes where nothing
 #: is known, the gap beside an anchor, the line where nothing is known, the margin of a cluster's box and of a search area.
@@ -163,8 +163,8 @@ def align(vlm: DataFrame, words: DataFrame, order: str = "word_id") -> DataFrame
     """file_id, page, idx, token, word_id (null where none was found), step: the words of each page's text with the located word they stand for.
 
     A page is one row of two arrays: its size has nothing to do with the tables'."""
-    t = vlm.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("idx", "token"))).alias("t"))
-    w = words.where(F.coalesce("text", F.lit("")) != "").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), "word_id", "text"))).alias("w"))
+    t = spread(vlm, *PAGE).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("idx", "token"))).alias("t"))
+    w = spread(words.where(F.coalesce("text", F.lit("")) != ""), *PAGE).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), "word_id", "text"))).alias("w"))
     both = t.join(w, PAGE, "left").withColumn("h", _hits(F.transform("t", lambda x: x["token"]), F.transform("w", lambda x: x["text"])))
     one = both.select(*PAGE, "w", F.explode(F.arrays_zip("t", "h")).alias("z"))
     return one.select(*PAGE, "z.t.idx", "z.t.token", F.when(F.col("z.h").isNotNull(), F.get("w", F.col("z.h.at"))["word_id"]).alias("word_id"), "z.h.step")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from leafspan.functions import geometry as G
 from leafspan.operators.matching import BAND, BOX, PAGE, banded_pairs
-from leafspan.session import cut
+from leafspan.session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -141,8 +141,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A page's words and edges are one row for a union-find over Arrow batches; pages are many and bounded.
     """
-    n = nodes.groupBy(*PAGE).agg(F.collect_list("word_id").alias("ids"))
-    e = edges.groupBy(*PAGE).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    n = spread(nodes, *PAGE).groupBy(*PAGE).agg(F.collect_list("word_id").alias("ids"))
+    e = spread(edges, *PAGE).groupBy(*PAGE).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     both = n.join(e, PAGE, "left").withColumn("cluster", _joined("ids", "a", "b"))
     return both.select(*PAGE, F.explode(F.arrays_zip(F.col("ids").alias("word_id"), "cluster")).alias("z")).select(*PAGE, "z.word_id", "z.cluster")
 

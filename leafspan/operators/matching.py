@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafspan.functions import geometry as G
 from leafspan.functions.text import similarity
+from leafspan.session import spread
 
 PAGE = ["file_id", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -50,12 +51,13 @@ def banded_pairs(left: DataFrame, right: DataFrame, reach: float = 0.0, keys: li
     (l_top, l_end), (r_top, r_end) = spans or (span(), span(reach))
     place = lambda y: F.floor(y / band)
 
-    def spread(rows: DataFrame, top: Column, end: Column, p: str) -> DataFrame:
+    def in_bands(rows: DataFrame, top: Column, end: Column, p: str) -> DataFrame:
         first = rows.select(*[F.col(c).alias(f"{p}{c}") for c in rows.columns], place(top).alias(f"_{p}first"), place(end).alias(f"_{p}last"))
         bands = F.when(F.col(f"_{p}last") >= F.col(f"_{p}first"), F.sequence(f"_{p}first", f"_{p}last"))
         return first.select("*", F.explode(bands).alias(f"_{p}band")).drop(f"_{p}last")
 
-    l, r = spread(left, l_top, l_end, "l_"), spread(right, r_top, r_end, "r_")
+    l, r = in_bands(left, l_top, l_end, "l_"), in_bands(right, r_top, r_end, "r_")
+    l, r = (spread(side, *[f"{p}{k}" for k in keys], f"_{p}band") for side, p in ((l, "l_"), (r, "r_")))
     on = [F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys] + [F.col("_l_band") == F.col("_r_band"), F.col("_l_band") == F.greatest("_l_first", "_r_first")]
     return l.join(r, on).drop("_l_band", "_r_band", "_l_first", "_r_first")
 

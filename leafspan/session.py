@@ -76,6 +76,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` shuffled by ``keys`` into as many partitions as the session's shuffles have. For stages with much work on few bytes: adaptive
+    coalescing sees only the bytes and would put them into a task or two. The keys must be of bounded groups, as pages are. They are taken
+    in reverse, lest Spark leaves the shuffle out where the rows stand by the same keys, but coalesced, already."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *reversed(keys))
+
+
 def _place(spark: SparkSession, path: str):
     """A path and the file system that it is on."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
