@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from leafspan.session import cut
+from leafspan.session import cut, spread
 from leafspan.sources import table
 
 #: Words whose centers are this near, in points, stand on one line; a footer stands in the last part of the page, below FOOT of its
@@ -212,7 +212,7 @@ def pages_in_context(words: DataFrame, sizes: DataFrame | None = None) -> DataFr
     conf = F.col("conf") if "conf" in words.columns else F.lit(None).cast("double")
     word = F.struct("word_id", F.coalesce("text", F.lit("")).alias("text"), "y0", "y1", conf.alias("conf"))
     by = ["src", "file_id", "page"]
-    pages = words.where("word_id is not null and file_id is not null and page is not null").groupBy(*by).agg(F.array_sort(F.collect_set(word)).alias("w"))
+    pages = spread(words.where("word_id is not null and file_id is not null and page is not null"), *by).groupBy(*by).agg(F.array_sort(F.collect_set(word)).alias("w"))
     tall = F.lit(None).cast("double")
     if sizes is not None:
         # once per source, so that pages stay where they are and only the small table moves
